@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .chat_format import OP7_SQL, op7_chat_format
 from .decontaminate import op6_decontamination
+from .language_id import op2_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import op9_mixing
 from .quality_rules import op4_quality_rules
+from .toxicity import op3_toxicity
 from .warc import OP10_SQL, op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_quality_rules, op6_decontamination, op7_chat_format, op9_mixing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_toxicity, op4_quality_rules, op6_decontamination, op7_chat_format, op9_mixing, op10_warc)}
 SQL = {"op1_line_dedup": OP1_SQL, "op7_chat_format": OP7_SQL, "op10_warc": OP10_SQL}
