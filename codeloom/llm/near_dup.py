@@ -68,7 +68,7 @@ def bucket_counts(docs: DataFrame, width: int, buckets: int) -> np.ndarray:
         for i, part in enumerate(np.array_split(total, SLICES)):
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.astype(np.uint32 if part.max(initial=0) < 2**32 else np.uint64).astype(np.uint64).tobytes()], pa.binary())], names=["slice", "counts"])
 
-    def add(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for x in batch.column("counts"):
