@@ -37,8 +37,6 @@ from . import common
 
 M = 8
 NULL_DOC = -(1 << 63)
-#: Per-document lists are broadcast up to this many bytes in all, joined by shuffle beyond.
-BROADCAST_BYTES = 48 << 20
 PATHS = "doc_id long, start int, edges int, src_doc long, src_start int"
 
 
@@ -236,20 +234,13 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _paths(doc[later], pos[later], doc[source], pos[source])
 
 
-def _side(df: DataFrame, length) -> DataFrame:
-    """df, with the broadcast hint if it is proven small."""
-    n = df.agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("x")).first()
-    return F.broadcast(df) if 64 * n.n + 16 * (n.x or 0) <= BROADCAST_BYTES else df
-
-
 def repeated_paths(docs: DataFrame, k: int = 20) -> DataFrame:
     """doc_id, start, edges, src_doc, src_start: windows start..start+edges-1 of doc_id also start earlier."""
     texts = docs.select(F.coalesce("doc_id", F.lit(NULL_DOC)).cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     asked = texts.mapInArrow(_announce(k), "key long, doc_id long, place int, known array<int>")
     places = asked.repartition("key").mapInArrow(_repeated, "doc_id long, places array<int>")
     places = common.stored(places.groupBy(F.col("doc_id").alias("_sd_doc")).agg(F.collect_list("places").alias("places")), "minimisers")
-    size = F.aggregate(F.transform("places", lambda p: F.size(p)), F.lit(0), lambda a, x: a + x)
-    held = texts.join(_side(places, size), F.col("doc_id") == F.col("_sd_doc")).select("doc_id", "text", "places")
+    held = texts.join(places, F.col("doc_id") == F.col("_sd_doc")).select("doc_id", "text", "places")
     rows = held.mapInArrow(_stretches(k), f"key long, {PATHS}, hashes array<long>")
     return rows.repartition("key").mapInArrow(_settle, PATHS)
 
@@ -269,7 +260,7 @@ def remove_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
     paths = repeated_paths(docs, k).groupBy(F.col("doc_id").alias("_sd_doc")).agg(F.collect_list(F.struct("start", "edges")).alias("cut"))
     paths = common.stored(paths, "paths")
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    held = texts.join(_side(paths, F.size("cut")), F.coalesce("doc_id", F.lit(NULL_DOC)) == F.col("_sd_doc"), "left").select("doc_id", "text", "cut")
+    held = texts.join(paths, F.coalesce("doc_id", F.lit(NULL_DOC)) == F.col("_sd_doc"), "left").select("doc_id", "text", "cut")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
