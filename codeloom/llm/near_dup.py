@@ -88,7 +88,7 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, floor: int, percent: int, m
     need = -(-percent * n // 100)
     longest = n - need + min(most_matches, need)
     order = np.lexsort((shingles, c))[:longest]
-    partners = np.cumsum(np.maximum(c[order] - floor, 0))  # about how many rows the prefix meets
+    partners = np.cumsum(np.maximum(c[order] - floor, 0) + 0.5)  # about how many rows the prefix meets
     best, cost = 1, None
     for l in range(1, min(most_matches, need) + 1):
         met = float(partners[n - need + l - 1])
@@ -145,7 +145,26 @@ def _check(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 16) ->
     return held.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
-def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, most_matches: int = 4, buckets: int = 1 << 20) -> DataFrame:
+def _sets(docs: DataFrame, all_docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """node, shingles of every node in pairs, computed from the text of one of its documents."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    who = all_docs.where("doc_id IS NOT NULL").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_nd_doc")).select("_nd_doc")
+    who = common.stored(who, "jaccard-ids")
+    few = who.count() <= BROADCAST_IDS
+    asked = docs.select("doc_id", "text").join(F.broadcast(who) if few else who, F.col("doc_id") == F.col("_nd_doc"), "left_semi")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = [shingle_set(t, width) for _, t in _texts(batch)]
+            s = [x for x in s if len(x)]
+            for i in range(0, len(s), 1000):
+                part = s[i : i + 1000]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in part], pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())], names=["node", "shingles"])
+
+    return common.stored(common.ordered_lang_free(asked).mapInArrow(sets_of, "node long, shingles binary"), "jaccard-sets")
+
+
+def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, most_matches: int = 6, buckets: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, node, component_id for every row of docs."""
     spark = docs.sparkSession
     counts = bucket_counts(docs, width, buckets)
@@ -188,26 +207,10 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, m
     heads = met.join(hubs, (met["token"] == hubs["token"]) & (met["node"] == hubs["hub"]), "left_semi").select("token", F.col("node").alias("a"), F.col("info").alias("ia"))
     star = met.select("token", F.col("node").alias("b"), F.col("info").alias("ib")).join(heads, "token").where("a <> b")
     fits = (100 * F.least(n_of("ia"), n_of("ib")) >= percent * F.greatest(n_of("ia"), n_of("ib")))
-    first = star.where(fits).groupBy("a", "b", "ia", "ib").agg(F.count(F.lit(1)).alias("shared"))
-    # a star sees only the shingles whose least node is a, so it cannot ask for all the matches yet
-    first = common.stored(first.select("a", "b"), "jaccard-pairs")
-    need = met.select("node").distinct()
-    who = all_docs.join(need, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_nd_doc"))
-    who = common.stored(who.select("_nd_doc").where("_nd_doc IS NOT NULL"), "jaccard-ids")
-    few = who.count() <= BROADCAST_IDS
-    asked = docs.select("doc_id", "text").join(F.broadcast(who) if few else who, F.col("doc_id") == F.col("_nd_doc"), "left_semi")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = [shingle_set(t, width) for _, t in _texts(batch)]
-            s = [x for x in s if len(x)]
-            for i in range(0, len(s), 1000):
-                part = s[i : i + 1000]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in part], pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())], names=["node", "shingles"])
-
-    sets = common.ordered_lang_free(asked).mapInArrow(sets_of, "node long, shingles binary")
-    sets = common.stored(sets, "jaccard-sets").dropDuplicates(["node"])
-    links = common.stored(_check(first, sets, percent), "jaccard-links")
+    first = star.where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least(l_of("ia"), l_of("ib"))).alias("want"))
+    # a star counts only the shingles whose least node is a; pairs it is unsure of are left to round 2
+    first = common.stored(first.where("shared >= greatest(2, want)").select("a", "b"), "jaccard-pairs")
+    links = common.stored(_check(first, _sets(docs, all_docs, first, width), percent), "jaccard-links")
     label = components(links)
     # round 2: shingles that still join different components
     placed = met.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -219,7 +222,8 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, m
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "token", F.least(l_of("ia"), l_of("ib")).alias("want"))
     cross = cross.groupBy("a", "b").agg(F.count_distinct("token").alias("shared"), F.min("want").alias("want")).where("shared >= want").select("a", "b")
     cross = cross.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = common.stored(_check(common.stored(cross, "jaccard-cross"), sets, percent), "jaccard-more")
+    cross = common.stored(cross, "jaccard-cross")
+    more = common.stored(_check(cross, _sets(docs, all_docs, cross, width), percent), "jaccard-more")
     if not more.isEmpty():
         label = components(links.unionByName(more))
     out = all_docs.select("doc_id", "n_shingles", "node").join(label, "node", "left").withColumn("class", F.coalesce("label", "node"))
