@@ -11,8 +11,7 @@ a k-way loser tree, so the ranges in order give the capture history of every URL
 
 Defined results: null html is an empty payload, null url is written as an empty URI and read back
 as '', page_id must not be null (rows without one are written with id -1); repeated rows give
-repeated records (of equal ids, the first stands as the response and the rest are revisits); an
-empty table gives no archive and an empty index.
+repeated records of the same type; an empty table gives no archive and an empty index.
 """
 
 from __future__ import annotations
