@@ -8,11 +8,13 @@ min(l1, l2) of them.  Each node picks the l in 1..`most_matches` with the least
 scanning its prefix and checking its candidates.
 
 Links are found in two rounds, so that a group of near copies never yields all its pairs:
-1. every prefix shingle held by two nodes or more links its nodes to the least of them, if the
-   exact check agrees; components of these links are found by large-star/small-star;
-2. for shingles whose nodes still lie in several components, nodes outside the shingle's first
-   component are paired with the nodes of other components; pairs with min(l1, l2) shared
-   shingles and fitting sizes are checked exactly.
+1. every prefix shingle held by two nodes or more links its nodes to that which holds it at the
+   earliest place, if the exact check agrees; components are found by large-star/small-star;
+2. nodes in different components that were compared with one hub are joined on the shingles in
+   which they differ from it: near copies of one text that do not link share few of those;
+   for shingles whose nodes still lie in several components and have several hubs, nodes that hold
+   it early enough are paired with those of other components and hubs; pairs with min(l1, l2)
+   shared shingles, at places and with sizes that allow a link, are checked exactly.
 Pairs inside a component cannot change the classes and are left out; nothing else is.
 
 Defined results: a null or wordless text has no shingles and is linked with nothing; a text with
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -98,9 +100,38 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, floor: int, percent: int, m
     return shingles[order[: n - need + best]], best
 
 
-def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def packed(n: str, at: str, matches: str) -> Column:
+    """A node's size (32 bits), the place of a shingle in its prefix (26) and its required matches (4) as one long."""
+    return F.shiftleft(F.col(n), 30) + F.shiftleft(F.col(at).cast("long"), 4) + F.col(matches)
+
+
+def size_of(info: str) -> Column:
+    return F.shiftright(F.col(info), 30)
+
+
+def place(info: str) -> Column:
+    return F.shiftright(F.col(info), 4).bitwiseAND(F.lit((1 << 26) - 1))
+
+
+def wanted(info: str) -> Column:
+    return F.col(info).bitwiseAND(F.lit(15))
+
+
+def may_link(ia: str, ib: str, percent: int) -> Column:
+    """Whether sizes and places of a shared shingle allow a link.
+
+    If it is the k-th that two nodes share, at least at_a + at_b - 2 (k - 1) shingles before it and
+    |rest_a - rest_b| after it are in one of them only, and a link allows (100 - percent) / (100 + percent) of both sizes.  The first
+    min(l1, l2) that a linked pair shares have k <= min(l1, l2) and all pass."""
+    n = size_of(ia) + size_of(ib)
+    fits = 100 * F.least(size_of(ia), size_of(ib)) >= percent * F.greatest(size_of(ia), size_of(ib))
+    apart = place(ia) + place(ib) - 2 * (F.least(wanted(ia), wanted(ib)) - 1) + F.abs((size_of(ia) - place(ia)) - (size_of(ib) - place(ib)))
+    return fits & ((100 + percent) * apart <= (100 - percent) * n)
+
+
+def is_early(info: str, percent: int) -> Column:
+    """True wherever the node may hold the shingle at the earlier place of a pair that may_link passes."""
+    return 2 * percent * (place(info) - wanted(info) + 1) <= (100 - percent) * size_of(info)
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -125,8 +156,11 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _check(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 16) -> DataFrame:
-    """The pairs (a, b) that pass the exact test.  Hot first nodes are split by salt."""
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 16) -> DataFrame:
+    """a, b, linked (the exact test) and how b differs from a: size (of b), only_b, only_a.
+
+    The last two are null where the sets have less than half of their union in common.  Hot first
+    nodes are split by salt."""
     salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
@@ -136,13 +170,49 @@ def _check(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 16) ->
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [
-                jaccard_at_least(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
-                for x, y in zip(batch.column("sa"), batch.column("sb"))
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return held.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+            linked, size, only_b, only_a = [], [], [], []
+            for x, y in zip(batch.column("sa"), batch.column("sb")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.intersect1d(x, y, assume_unique=True)
+                linked.append(100 * len(both) >= percent * (len(x) + len(y) - len(both)))
+                size.append(len(y))
+                near = 2 * len(both) >= len(x) + len(y) - len(both)
+                only_b.append(common.signed(np.setdiff1d(y, both, assume_unique=True)) if near else None)
+                only_a.append(common.signed(np.setdiff1d(x, both, assume_unique=True)) if near else None)
+            lists = [pa.array(v, pa.list_(pa.int64())) for v in (only_b, only_a)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), *lists], names=["a", "b", "linked", "size", "only_b", "only_a"])
+
+    return held.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long, linked boolean, size long, only_b array<long>, only_a array<long>")
+
+
+def _anchored(compared: DataFrame) -> DataFrame:
+    """node, anchor, size, ups, downs: each node's difference from one hub, that which most nodes were compared with."""
+    near = compared.where("only_b IS NOT NULL")
+    asked = near.groupBy("a").agg(F.count(F.lit(1)).alias("asked"))
+    return near.join(asked, "a").groupBy(F.col("b").alias("node")).agg(F.max_by(F.struct(F.col("a").alias("anchor"), "size", F.col("only_b").alias("ups"), F.col("only_a").alias("downs")), F.struct("asked", "a")).alias("own")).select("node", "own.*")
+
+
+def _differ_alike(anchored: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes with one anchor and different labels that may link.
+
+    Nodes A, B with anchor H differ in |dA| + |dB| - 2 |dA & dB| shingles, dX being how X differs from
+    H.  If dA and dB have nothing in common and A, B link, then both link with H, hence have one
+    label.  So the join is on shared elements of the differences, rarest first, with the bound on
+    their places: the first shared one has at_a + at_b + |rest_a - rest_b| <= the allowed difference."""
+    who = anchored.join(label, "node", "left").select("node", "anchor", "size", F.coalesce("label", "node").alias("label"), F.size("ups").alias("n_up"), F.size("downs").alias("n_down"), "ups", "downs")
+    # the element of a difference: a shingle with the sign of the difference in the last bit of its hash
+    signed = F.concat(F.transform("ups", lambda x: F.xxhash64(x, F.lit(1))), F.transform("downs", lambda x: F.xxhash64(x, F.lit(0))))
+    rows = who.select("node", "anchor", "label", "size", (F.col("n_up") + F.col("n_down")).cast("long").alias("d"), F.explode(signed).alias("element"))
+    often = rows.groupBy("anchor", "element").agg(F.count(F.lit(1)).alias("often"), F.min("label").alias("low"), F.max("label").alias("high"))
+    rows = rows.join(often, ["anchor", "element"]).withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("often", "element")).cast("long") - 1)
+    most = (100 - percent) * F.col("size")  # percent times the most that a linked node may differ
+    rows = rows.where((F.col("low") < F.col("high")) & (percent * F.col("at") <= most)).select("anchor", "element", "node", "label", "size", "d", "at", (2 * percent * F.col("at") <= most).alias("early"))
+    rows = common.stored(rows, "jaccard-differences")
+    named = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "d", "at", "early")]
+    met = rows.where("early").select("anchor", "element", *named("a")).join(rows.select("anchor", "element", *named("b")), ["anchor", "element"])
+    apart = F.col("at_a") + F.col("at_b") + F.abs((F.col("d_a") - F.col("at_a")) - (F.col("d_b") - F.col("at_b")))
+    met = met.where((F.col("label_a") != F.col("label_b")) & (~F.col("early_b") | (F.col("node_a") < F.col("node_b"))) & ((100 + percent) * apart <= (100 - percent) * (F.col("size_a") + F.col("size_b"))))
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def _sets(docs: DataFrame, all_docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
@@ -196,34 +266,43 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, m
             )
 
     all_docs = common.stored(texts.mapInArrow(emit, "doc_id long, node long, n_shingles long, matches int, prefix array<long>"), "jaccard-prefix")
-    rows = all_docs.where("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "node", F.struct("n_shingles", "matches").alias("info"))
-    rows = rows.select("token", "node", (F.col("info.n_shingles") * 16 + F.col("info.matches")).alias("info"))
+    rows = all_docs.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("at", "token"), "node", "n_shingles", "matches")
+    rows = rows.select("token", "node", packed("n_shingles", "at", "matches").alias("info"))
     many = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
     # one row per shingle and node: a node that several tasks have sent counts once
     met = common.stored(rows.join(many, "token").dropDuplicates(["token", "node"]), "jaccard-met")
-    hubs = met.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
-    n_of = lambda c: F.floor(F.col(c) / 16)
-    l_of = lambda c: F.col(c) % 16
+    # round 1: each shingle's nodes against that which holds it at the earliest place
+    hubs = met.groupBy("token").agg(F.min(F.struct(place("info").alias("at"), "node")).alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    hubs = hubs.select("token", F.col("hub.node").alias("hub"))
     heads = met.join(hubs, (met["token"] == hubs["token"]) & (met["node"] == hubs["hub"]), "left_semi").select("token", F.col("node").alias("a"), F.col("info").alias("ia"))
     star = met.select("token", F.col("node").alias("b"), F.col("info").alias("ib")).join(heads, "token").where("a <> b")
-    fits = (100 * F.least(n_of("ia"), n_of("ib")) >= percent * F.greatest(n_of("ia"), n_of("ib")))
-    first = star.where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least(l_of("ia"), l_of("ib"))).alias("want"))
-    # a star counts only the shingles whose least node is a; pairs it is unsure of are left to round 2
+    first = star.where(may_link("ia", "ib", percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least(wanted("ia"), wanted("ib"))).alias("want"))
+    # a star counts only the shingles whose hub is a; pairs it is unsure of are left to round 2
     first = common.stored(first.where("shared >= greatest(2, want)").select("a", "b"), "jaccard-pairs")
-    links = common.stored(_check(first, _sets(docs, all_docs, first, width), percent), "jaccard-links")
+    compared = common.stored(_compare(first, _sets(docs, all_docs, first, width), percent), "jaccard-compared")
+    links = compared.where("linked").select("a", "b")
     label = components(links)
-    # round 2: shingles that still join different components
-    placed = met.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = placed.groupBy("token").agg(F.min("label").alias("main"), F.max("label").alias("other")).where("main <> other").drop("other")
-    placed = common.stored(placed.join(split, "token"), "jaccard-split")
-    minor = placed.where("label <> main").select("token", F.col("node").alias("a"), F.col("info").alias("ia"), F.col("label").alias("la"))
-    wide = placed.select("token", F.col("node").alias("b"), F.col("info").alias("ib"), F.col("label").alias("lb"))
-    cross = minor.join(wide, "token").where((F.col("la") != F.col("lb")) & fits)
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "token", F.least(l_of("ia"), l_of("ib")).alias("want"))
-    cross = cross.groupBy("a", "b").agg(F.count_distinct("token").alias("shared"), F.min("want").alias("want")).where("shared >= want").select("a", "b")
-    cross = cross.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    # round 2a: nodes with one anchor, by what they do not share with it
+    anchored = common.stored(_anchored(compared), "jaccard-anchored")
+    alike = _differ_alike(anchored, label, percent)
+    # round 2b: shingles whose nodes differ in component and anchor; those of the commonest anchor never meet each other
+    placed = met.join(label, "node", "left").join(anchored.select("node", "anchor"), "node", "left")
+    placed = common.stored(placed.select("token", "node", "info", F.coalesce("label", "node").alias("label"), F.coalesce("anchor", "node").alias("anchor"), is_early("info", percent).alias("early")), "jaccard-placed")
+    shares = placed.groupBy("token", "anchor").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("low"), F.max("label").alias("high"))
+    shares = shares.groupBy("token").agg(F.max_by("anchor", F.struct("held", "anchor")).alias("main"), F.count(F.lit(1)).alias("anchors"), F.min("low").alias("low"), F.max("high").alias("high"))
+    placed = placed.join(shares.where("anchors > 1 AND low < high").select("token", "main"), "token").withColumn("other", F.col("anchor") != F.col("main"))
+    placed = common.stored(placed.drop("main"), "jaccard-split")
+    left = placed.where("early").select("token", F.when(F.col("other"), 0).otherwise(1).alias("side"), F.col("node").alias("a"), F.col("info").alias("ia"), F.col("label").alias("la"), F.col("anchor").alias("ha"))
+    sides = F.when(F.col("other") & ~F.col("early"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    right = placed.select("token", F.explode(sides).alias("side"), F.col("node").alias("b"), F.col("info").alias("ib"), F.col("label").alias("lb"), F.col("anchor").alias("hb"), (F.col("early") & F.col("other")).alias("eb"))
+    cross = left.join(right, ["token", "side"]).where((F.col("la") != F.col("lb")) & (F.col("ha") != F.col("hb")) & may_link("ia", "ib", percent) & (~F.col("eb") | (F.col("a") < F.col("b"))))
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least(wanted("ia"), wanted("ib")).alias("want"), (size_of("ia") + size_of("ib")).alias("n"), (place("ia") + place("ib")).alias("at"))
+    cross = cross.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("want").alias("want"), F.max("n").alias("n"), F.max("at").alias("at"))
+    # the passed shingles are the first that a pair shares, so the last of them bounds the difference best
+    cross = cross.where((F.col("shared") >= F.col("want")) & ((100 + percent) * (F.col("at") - 2 * (F.col("shared") - 1)) <= (100 - percent) * F.col("n"))).select("a", "b")
+    cross = cross.unionByName(alike).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     cross = common.stored(cross, "jaccard-cross")
-    more = common.stored(_check(cross, _sets(docs, all_docs, cross, width), percent), "jaccard-more")
+    more = common.stored(_compare(cross, _sets(docs, all_docs, cross, width), percent).where("linked").select("a", "b"), "jaccard-more")
     if not more.isEmpty():
         label = components(links.unionByName(more))
     out = all_docs.select("doc_id", "n_shingles", "node").join(label, "node", "left").withColumn("class", F.coalesce("label", "node"))

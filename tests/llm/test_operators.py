@@ -119,6 +119,13 @@ def test_near_duplicates(spark, width, percent):
             for _ in range(rng.randint(0, 2)):
                 copy[rng.randrange(len(copy))] = rng.choice(WORDS)
             rows.append(" ".join(copy))
+    family = prose(rng, 70).split()  # copies of one text, most of them too far from each other
+    for _ in range(40):
+        copy = list(family)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randint(0, 2)] = [rng.choice(WORDS)] * rng.randint(0, 2)
+        rows.append(" ".join(copy))
     rows += [None, "", " ", "A b", "a B"]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     sets = [frozenset(near_dup.shingle_set((t or "").encode(), width).tolist()) for t in rows]
