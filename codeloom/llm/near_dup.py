@@ -276,7 +276,8 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, m
     hubs = hubs.select("token", F.col("hub.node").alias("hub"))
     heads = met.join(hubs, (met["token"] == hubs["token"]) & (met["node"] == hubs["hub"]), "left_semi").select("token", F.col("node").alias("a"), F.col("info").alias("ia"))
     star = met.select("token", F.col("node").alias("b"), F.col("info").alias("ib")).join(heads, "token").where("a <> b")
-    first = star.where(may_link("ia", "ib", percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least(wanted("ia"), wanted("ib"))).alias("want"))
+    # also those that can't link, if half of their union may be common: round 2a needs how they differ from the hub
+    first = star.where(2 * F.least(size_of("ia"), size_of("ib")) >= F.greatest(size_of("ia"), size_of("ib"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least(wanted("ia"), wanted("ib"))).alias("want"))
     # a star counts only the shingles whose hub is a; pairs it is unsure of are left to round 2
     first = common.stored(first.where("shared >= greatest(2, want)").select("a", "b"), "jaccard-pairs")
     compared = common.stored(_compare(first, _sets(docs, all_docs, first, width), percent), "jaccard-compared")
