@@ -271,6 +271,7 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, m
     many = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
     # one row per shingle and node: a node that several tasks have sent counts once
     met = common.stored(rows.join(many, "token").dropDuplicates(["token", "node"]), "jaccard-met")
+    common.release(spark)
     # round 1: each shingle's nodes against that which holds it at the earliest place
     hubs = met.groupBy("token").agg(F.min(F.struct(place("info").alias("at"), "node")).alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1")
     hubs = hubs.select("token", F.col("hub.node").alias("hub"))
@@ -280,7 +281,9 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, m
     first = star.where(2 * F.least(size_of("ia"), size_of("ib")) >= F.greatest(size_of("ia"), size_of("ib"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least(wanted("ia"), wanted("ib"))).alias("want"))
     # a star counts only the shingles whose hub is a; pairs it is unsure of are left to round 2
     first = common.stored(first.where("shared >= greatest(2, want)").select("a", "b"), "jaccard-pairs")
-    compared = common.stored(_compare(first, _sets(docs, all_docs, first, width), percent), "jaccard-compared")
+    sets = _sets(docs, all_docs, first, width)
+    compared = common.stored(_compare(first, sets, percent), "jaccard-compared")
+    common.release(spark, sets)
     links = compared.where("linked").select("a", "b")
     label = components(links)
     # round 2a: nodes with one anchor, by what they do not share with it
@@ -289,10 +292,13 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, m
     # round 2b: shingles whose nodes differ in component and anchor; those of the commonest anchor never meet each other
     placed = met.join(label, "node", "left").join(anchored.select("node", "anchor"), "node", "left")
     placed = common.stored(placed.select("token", "node", "info", F.coalesce("label", "node").alias("label"), F.coalesce("anchor", "node").alias("anchor"), is_early("info", percent).alias("early")), "jaccard-placed")
+    common.release(spark, met)
     shares = placed.groupBy("token", "anchor").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("low"), F.max("label").alias("high"))
     shares = shares.groupBy("token").agg(F.max_by("anchor", F.struct("held", "anchor")).alias("main"), F.count(F.lit(1)).alias("anchors"), F.min("low").alias("low"), F.max("high").alias("high"))
+    every = placed
     placed = placed.join(shares.where("anchors > 1 AND low < high").select("token", "main"), "token").withColumn("other", F.col("anchor") != F.col("main"))
     placed = common.stored(placed.drop("main"), "jaccard-split")
+    common.release(spark, every)
     left = placed.where("early").select("token", F.when(F.col("other"), 0).otherwise(1).alias("side"), F.col("node").alias("a"), F.col("info").alias("ia"), F.col("label").alias("la"), F.col("anchor").alias("ha"))
     sides = F.when(F.col("other") & ~F.col("early"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     right = placed.select("token", F.explode(sides).alias("side"), F.col("node").alias("b"), F.col("info").alias("ib"), F.col("label").alias("lb"), F.col("anchor").alias("hb"), (F.col("early") & F.col("other")).alias("eb"))
@@ -303,9 +309,12 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, m
     cross = cross.where((F.col("shared") >= F.col("want")) & ((100 + percent) * (F.col("at") - 2 * (F.col("shared") - 1)) <= (100 - percent) * F.col("n"))).select("a", "b")
     cross = cross.unionByName(alike).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     cross = common.stored(cross, "jaccard-cross")
-    more = common.stored(_compare(cross, _sets(docs, all_docs, cross, width), percent).where("linked").select("a", "b"), "jaccard-more")
+    common.release(spark, placed)
+    sets = _sets(docs, all_docs, cross, width)
+    more = common.stored(_compare(cross, sets, percent).where("linked").select("a", "b"), "jaccard-more")
     if not more.isEmpty():
         label = components(links.unionByName(more))
+    common.release(spark, sets, first, anchored)
     out = all_docs.select("doc_id", "n_shingles", "node").join(label, "node", "left").withColumn("class", F.coalesce("label", "node"))
     names = out.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     out = out.join(names, "class", "left")
