@@ -45,17 +45,6 @@ def stored(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Frees disk: the files of stored tables that nothing reads any more, and the shuffle files of finished jobs.
-
-    Spark removes shuffle files when the driver's JVM collects the objects that stand for them."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-    jvm.System.gc()
-
-
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
