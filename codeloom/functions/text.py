@@ -83,9 +83,79 @@ def slug(text: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
+    """59s, 1m05s, 1h02m."""
     s = seconds.cast("long")
-    h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
-    return F.when(h > 0, F.concat(h.cast("string"), F.lit("h "), m.cast("string"), F.lit("m"))).when(m > 0, F.concat(m.cast("string"), F.lit("m "), r.cast("string"), F.lit("s"))).otherwise(F.concat(r.cast("string"), F.lit("s")))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    hours, minutes = F.concat(F.floor(s / 3600).cast("string"), F.lit("h"), two(F.floor(s % 3600 / 60)), F.lit("m")), F.concat(F.floor(s / 60).cast("string"), F.lit("m"), two(s % 60), F.lit("s"))
+    return F.when(seconds < 60, F.concat(F.rint(seconds.cast("double")).cast("long").cast("string"), F.lit("s"))).when(seconds < 3600, minutes).otherwise(hours)
+
+
+def cost(usd: Column) -> Column:
+    """Dollars: four digits below a cent, else two."""
+    return F.when(usd < 0.01, F.format_string("$%.4f", usd.cast("double"))).otherwise(F.format_string("$%.2f", usd.cast("double")))
+
+
+# The line between files of one unit, and the line that replaces a forged one.
+BOUNDARY = "========== File Boundary =========="
+BOUNDARY_LINE = f"(?m)^[ \\t]*(?:#|//)?[ \\t]*{BOUNDARY}[ \\t]*$"
+NEUTRAL = "# boundary-shaped line from scanned source, neutralized"
+
+
+def neutralized(source: Column) -> Column:
+    """Untrusted source without lines that look like the boundary between files."""
+    return F.regexp_replace(source, BOUNDARY_LINE, NEUTRAL)
+
+
+def boundary_parts(code: Column) -> Column:
+    """The files of a concatenated unit, the target first."""
+    return F.split(code, BOUNDARY_LINE, -1)
+
+
+LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+
+
+def collapsed(text: Column) -> Column:
+    """One line: each line end becomes a space, one at the very end goes."""
+    return F.regexp_replace(F.regexp_replace(text, f"(?:{LINE_ENDS})\\z", ""), LINE_ENDS, " ")
+
+
+def safe_filename(unit_id: Column, most: int = 233) -> Column:
+    """An id as a file name; long ones are cut and end in 16 digits of their SHA-256."""
+    name = F.translate(F.replace(F.replace(unit_id, F.lit("/"), F.lit("__")), F.lit("\\"), F.lit("__")), ": ", "__")
+    return F.when(F.length(name) > most, F.concat(F.left(name, F.lit(most)), F.lit("_"), F.left(F.sha2(unit_id.cast("binary"), 256), F.lit(16)))).otherwise(name)
+
+
+# Shapes of credentials; the first group stays.
+MASK = "[REDACTED]"
+DENSE = "(?=[A-Za-z0-9._\\-]*[A-Za-z0-9]{16})[A-Za-z0-9._\\-]+"
+SECRETS = (
+    "(?i)(\\b(?:api[_-]?key|key)\\s*(?:[=:]|%3[Dd])\\s*)[A-Za-z0-9._\\-]{8,}",
+    "(?i)(\\bBearer\\s+)[A-Za-z0-9._\\-]{12,}",
+    f"()sk-{DENSE}",
+    "()AIza[A-Za-z0-9_\\-]{30,}",
+)
+
+
+def redacted(text: Column) -> Column:
+    for shape in SECRETS:
+        text = F.regexp_replace(text, shape, "$1\\" + MASK[:-1] + "\\]")
+    return text
+
+
+def stage1_verdict(note: Column, updated_from: Column, finding: Column, verdict: Column) -> Column:
+    """The verdict before stage two: the word after 'from' in a note of change, else the recorded one, else the present."""
+    before = F.when(note.contains("Changed from"), F.nullif(F.regexp_extract(note, "(?:^|\\s)from\\s+(\\S+)", 1), F.lit("")))
+    return F.coalesce(before, F.nullif(updated_from, F.lit("")), F.nullif(finding, F.lit("")), verdict, F.lit(""))
+
+
+def remote_identity(url: Column) -> Column:
+    """A git remote as https://host/path, without user, port or .git; '' for what is no remote."""
+    raw = F.btrim(url)
+    scp = "^(?:[^:@/\\\\\\s]+@)?([A-Za-z0-9.\\-]{2,}):([A-Za-z0-9._~%+\\-][A-Za-z0-9._~%+/\\-]*)$"
+    web = "^[a-z][a-z0-9+.\\-]*://(?:[^/@]*@)?([A-Za-z0-9.\\-]+)(?::\\d+)?/([^?#]+)"
+    path = lambda x: F.regexp_replace(F.btrim(x, F.lit("/")), "\\.git$", "")
+    whole = lambda p: F.concat(F.lit("https://"), F.lower(F.regexp_extract(raw, p, 1)), F.lit("/"), path(F.regexp_extract(raw, p, 2)))
+    return F.when(raw.contains("://"), F.when(raw.rlike(web), whole(web)).otherwise("")).when(raw.rlike(scp), whole(scp)).otherwise("")
 
 
 def first_match(text: Column, patterns: list[str]) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +73,90 @@ def prune_buckets(units: DataFrame, kept: DataFrame, edges: DataFrame) -> DataFr
     callers = edges.where("src <> dst").select(F.col("dst").alias("node")).distinct().withColumn("called", F.lit(True))
     gone = units.join(kept, "node", "left_anti").join(callers, "node", "left")
     return gone.select("node", F.when(F.col("called"), "dead_cluster").otherwise("orphan").alias("bucket"))
+
+
+def entry_paths(edges: DataFrame, entries: DataFrame, most_depth: int = 15) -> DataFrame:
+    """(node, path): a shortest call path from an entry point (column node) to every node within most_depth calls.
+
+    Paths have at most most_depth + 1 nodes; of equally short ones the least is taken."""
+    edges = _checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
+    seen = frontier = _checkpointed(entries.select("node").where("node IS NOT NULL").distinct().withColumn("path", F.array("node")))
+    for _ in range(most_depth):
+        step = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        frontier = _checkpointed(step.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = _checkpointed(seen.unionByName(frontier))
+    return seen
+
+
+def lineage(parents: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(node, root, steps, cyclic) of rows (node, parent), by pointer doubling; a null parent is a root.
+
+    A parent that is no node counts as the root.  Chains that run into a cycle have no root."""
+    at = _checkpointed(parents.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("steps")))
+    for _ in range(most_rounds):
+        ahead = at.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("steps").alias("more"))
+        moved = at.join(ahead, "up", "left").select("node", F.coalesce("far", "up").alias("up"), (F.col("steps") + F.coalesce(F.when(F.col("far").isNotNull(), F.col("more")), F.lit(0))).alias("steps"), F.col("far").isNotNull().alias("moved"))
+        at = _checkpointed(moved)
+        if at.where("moved").isEmpty():
+            break
+        if at.where("moved AND steps <= " + str(at.count())).isEmpty():
+            break
+    return at.select("node", F.when(~F.col("moved"), F.coalesce("up", "node")).alias("root"), F.when(~F.col("moved"), F.col("steps")).alias("steps"), F.col("moved").alias("cyclic"))
+
+
+def nearest_ancestor(parents: DataFrame, values: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """(node, value): a node's own value, else that of its nearest ancestor that has one, else null.
+
+    Unset nodes look past their parents, twice as far in each round."""
+    at = parents.join(values, "node", "left").select("node", F.when(F.col("value").isNull(), F.col("parent")).alias("up"), "value")
+    at = _checkpointed(at)
+    for _ in range(most_rounds):
+        ahead = at.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("value").alias("theirs"))
+        moved = at.join(ahead, "up", "left").select("node", F.when(F.col("value").isNull() & F.col("theirs").isNull(), F.col("far")).alias("up"), F.coalesce("value", "theirs").alias("value"))
+        at = _checkpointed(moved)
+        if at.where("up IS NOT NULL").isEmpty():
+            break
+    return at.select("node", "value")
+
+
+def method_orders(bases: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """(node, chain): the C3 order of each class of rows (node, bases array, nearest first).
+
+    A class is ordered once all its bases are; unknown bases are classes without bases.  A class
+    whose bases have no consistent order, or that inherits from itself, gets a null chain."""
+    @F.pandas_udf("array<string>")
+    def merged(nodes: pd.Series, lists: pd.Series, own: pd.Series) -> pd.Series:
+        def one(node, chains, direct) -> list[str] | None:
+            if any(c is None for c in chains):
+                return None
+            todo, out = [[*c] for c in (*chains, direct) if len(c)], [node]
+            while todo:
+                behind = {x for c in todo for x in c[1:]}
+                head = next((c[0] for c in todo if c[0] not in behind), None)
+                if head is None or head == node:
+                    return None
+                out.append(head)
+                todo = [d for c in todo if (d := [x for x in c if x != head])]
+            return out
+
+        return pd.Series([one(*x) for x in zip(nodes, lists, own)])
+
+    rows = bases.select(F.col("node").cast("string").alias("node"), F.coalesce("bases", F.array().cast("array<string>")).alias("bases"))
+    pairs = rows.select("node", F.posexplode("bases").alias("at", "base"))
+    outside = pairs.select(F.col("base").alias("node")).distinct().join(rows, "node", "left_anti").select("node", F.array("node").alias("chain"))
+    done = _checkpointed(rows.where("size(bases) = 0").select("node", F.array("node").alias("chain")).unionByName(outside))
+    left = _checkpointed(rows.where("size(bases) > 0"))
+    for _ in range(most_rounds):
+        known = done.select(F.col("node").alias("base"), F.col("chain").alias("above"), F.lit(1).alias("known"))
+        ready = left.select("node", "bases", F.posexplode("bases").alias("at", "base")).join(known, "base", "left")
+        ready = ready.groupBy("node", "bases").agg(F.count("known").alias("n"), F.array_sort(F.collect_list(F.struct("at", "above"))).alias("above"))
+        ready = ready.where("n = size(bases)").select("node", merged("node", F.transform("above", lambda x: x["above"]), "bases").alias("chain"))
+        ready = _checkpointed(ready)
+        if ready.isEmpty():
+            break
+        done = _checkpointed(done.unionByName(ready))
+        left = _checkpointed(left.join(ready, "node", "left_anti"))
+    rest = left.select("node", F.lit(None).cast("array<string>").alias("chain"))
+    return done.join(outside, "node", "left_anti").unionByName(rest)

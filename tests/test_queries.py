@@ -9,7 +9,7 @@ from codeloom.functions import taxonomy as tx
 from codeloom.functions import text as fx
 from codeloom.operators import accounting as ac
 from codeloom.operators import graph as g
-from codeloom.plans import catalog, finding_queries, graph_queries  # noqa: F401
+from codeloom.plans import catalog, finding_queries, graph_queries, review_queries  # noqa: F401
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -54,7 +54,7 @@ def test_hunks_fences_and_names(spark):
     assert one(spark, fx.code_fence(F.col("x")), x="plain") == "```"
     assert one(spark, fx.signature_pattern(F.col("x")), x="get_new_user") == "user"
     assert one(spark, fx.usage_lines(F.col("x"), "run"), x="run()\nrunner()\nx.run (1)") == [1, 3]
-    assert one(spark, fx.duration(F.col("x")), x=3725) == "1h 2m"
+    assert one(spark, fx.duration(F.col("x")), x=3725) == "1h02m"
 
 
 def test_closure_with_cycle_self_call_and_no_seed(spark):
