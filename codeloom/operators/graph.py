@@ -90,32 +90,33 @@ def entry_paths(edges: DataFrame, entries: DataFrame, most_depth: int = 15) -> D
     return seen
 
 
-def lineage(parents: DataFrame, most_rounds: int = 40) -> DataFrame:
+def _doublings(n: int) -> int:
+    """Rounds after which pointers that double their reach have passed any chain of n nodes."""
+    return n.bit_length() + 1
+
+
+def lineage(parents: DataFrame) -> DataFrame:
     """(node, root, steps, cyclic) of rows (node, parent), by pointer doubling; a null parent is a root.
 
     A parent that is no node counts as the root.  Chains that run into a cycle have no root."""
     at = _checkpointed(parents.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("steps")))
-    for _ in range(most_rounds):
-        ahead = at.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("steps").alias("more"))
-        moved = at.join(ahead, "up", "left").select("node", F.coalesce("far", "up").alias("up"), (F.col("steps") + F.coalesce(F.when(F.col("far").isNotNull(), F.col("more")), F.lit(0))).alias("steps"), F.col("far").isNotNull().alias("moved"))
-        at = _checkpointed(moved)
+    # pointers stop at a root, whose own pointer is null
+    for _ in range(_doublings(at.count())):
+        ahead = at.where("up IS NOT NULL").select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("steps").alias("more"))
+        at = _checkpointed(at.join(ahead, "up", "left").select("node", F.coalesce("far", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("far").isNotNull().alias("moved")))
         if at.where("moved").isEmpty():
             break
-        if at.where("moved AND steps <= " + str(at.count())).isEmpty():
-            break
     return at.select("node", F.when(~F.col("moved"), F.coalesce("up", "node")).alias("root"), F.when(~F.col("moved"), F.col("steps")).alias("steps"), F.col("moved").alias("cyclic"))
 
 
-def nearest_ancestor(parents: DataFrame, values: DataFrame, most_rounds: int = 64) -> DataFrame:
+def nearest_ancestor(parents: DataFrame, values: DataFrame) -> DataFrame:
     """(node, value): a node's own value, else that of its nearest ancestor that has one, else null.
 
-    Unset nodes look past their parents, twice as far in each round."""
-    at = parents.join(values, "node", "left").select("node", F.when(F.col("value").isNull(), F.col("parent")).alias("up"), "value")
-    at = _checkpointed(at)
-    for _ in range(most_rounds):
+    Unset nodes look past their parents, twice as far in each round; cycles without a value give null."""
+    at = _checkpointed(parents.join(values, "node", "left").select("node", F.when(F.col("value").isNull(), F.col("parent")).alias("up"), "value"))
+    for _ in range(_doublings(at.count())):
         ahead = at.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("value").alias("theirs"))
-        moved = at.join(ahead, "up", "left").select("node", F.when(F.col("value").isNull() & F.col("theirs").isNull(), F.col("far")).alias("up"), F.coalesce("value", "theirs").alias("value"))
-        at = _checkpointed(moved)
+        at = _checkpointed(at.join(ahead, "up", "left").select("node", F.when(F.col("value").isNull() & F.col("theirs").isNull(), F.col("far")).alias("up"), F.coalesce("value", "theirs").alias("value")))
         if at.where("up IS NOT NULL").isEmpty():
             break
     return at.select("node", "value")
