@@ -115,9 +115,9 @@ def collapsed_lines(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(fx.collapsed(F.col("text")).cast("binary"), 256).alias("line_sha256"))
 
 
-@register("neutralized_boundaries", f"""SELECT doc_id, sha256(text || chr(10) || '{fx.NEUTRAL}' || chr(10) || 'x') AS code_sha256 FROM documents WHERE text NOT LIKE '%File Boundary%'""")
+@register("neutralized_boundaries", f"""SELECT doc_id, sha256(text || chr(10) || '{fx.NEUTRAL}' || chr(10) || 'x') AS code_sha256 FROM documents""")
 def neutralized_boundaries(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("text NOT LIKE '%File Boundary%'")
+    d = read(spark, sf_dir, "documents")
     return d.select("doc_id", F.sha2(fx.neutralized(F.concat("text", F.lit(f"\n  // {fx.BOUNDARY}\nx"))).cast("binary"), 256).alias("code_sha256"))
 
 
