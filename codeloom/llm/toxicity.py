@@ -1,17 +1,20 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
-
-Terms are words and their openings of four and five letters, lower-cased; those that the
-labelled sample's toxic class prefers by a log-likelihood ratio of `least_g` or more are kept.  The examples stand in an inverted index whose
-posting lists are cut into blocks of `BLOCK` examples, each block with its greatest weight.  A
-query visits blocks by their upper bound and stops when no block can reach its k-th best cosine,
+"""Toxicity by the nearest labelled examples under exact cosine of class-weighted TF-IDF.
+
+Terms are words and their openings of four and five letters, lower-cased; every term of the
+labelled sample is kept.  A term's IDF is scaled by how surely the toxic class prefers it:
+`floor` for terms that tell nothing, up to 1 + `floor` with a growing log-likelihood ratio g
+(g / (g + `half_g`)).  The scale never drops a term, so a copy of an example has cosine 1 with it.
+The examples stand in an inverted index; terms that a tenth of the examples hold are summed as one
+dense product for a batch of texts, the rest by their posting lists.  Every example is compared,
 so the neighbours are exact.  Their distance-weighted votes, shrunk to the base rate, are mapped
 to a probability by bins fitted on leave-one-out votes of the examples.
 
 The sample holds at most `max_examples` labelled rows (least hashes of doc_id; toxic rows may fill
-half of it); index and terms are bounded by that and go to the executors whole.
+half of it), less near copies (Jaccard of `alike` over word windows, same label); index and terms
+are bounded by that and go to the executors whole.
 
 Defined results: a text that is null, empty or without known terms has no neighbours and gets the
-base rate of such examples; labels that are null or absent teach nothing; several labels of one
+rate of such examples, shrunk to the least score that the bins give; labels that are null or absent teach nothing; several labels of one
 document count as the highest; without both classes every score is the base rate (0.0 with no
 label); ties among neighbours go to the earlier example; repeated rows score alike; an empty table
 gives an empty result; further columns are ignored.
@@ -23,16 +26,18 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 LETTERS = re.compile(r"[^\W\d_]+")
-BLOCK = 128
+TOGETHER = 64  # texts of one dense product
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -42,39 +47,78 @@ def terms_of(word: str) -> tuple[str, ...]:
 @dataclass
 class Model:
     terms: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # scaled by class
     labels: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # per term: examples, weights, where each block begins
-    bounds: np.ndarray  # terms x blocks
+    starts: np.ndarray  # of each term's postings, and their end
+    who: np.ndarray
+    weight: np.ndarray
     base: float
     base_empty: float
     cuts: np.ndarray
     values: np.ndarray
     k: int
 
+    def __getstate__(self) -> dict:
+        return {x: v for x, v in self.__dict__.items() if x not in ("place", "dense")}
+
+    @property
+    def postings(self) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """Per term: examples, weights, how many."""
+        return [(self.who[a:b], self.weight[a:b], int(b - a)) for a, b in zip(self.starts, self.starts[1:])]
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Per term its row of the dense part, or -1."""
+        common_terms = np.flatnonzero(10 * np.diff(self.starts) >= max(10, len(self.labels)))
+        out = np.full(len(self.idf), -1, np.int64)
+        out[common_terms] = np.arange(len(common_terms))
+        return out
+
+    @cached_property
+    def dense(self) -> np.ndarray:
+        out = np.zeros((int(self.place.max(initial=-1)) + 1, len(self.labels)))
+        for t in np.flatnonzero(self.place >= 0):
+            a, b = self.starts[t], self.starts[t + 1]
+            out[self.place[t], self.who[a:b]] = self.weight[a:b]
+        return out
+
+    def weighted(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.idf[ids]
+        return w / np.sqrt((w**2).sum()) if len(w) else w
+
     def vector(self, counts: Counter) -> tuple[tuple[int, ...], np.ndarray]:
         ids = tuple(sorted(counts))
-        w = np.array([(1 + np.log(counts[i])) * self.idf[i] for i in ids])
-        return ids, w / np.sqrt((w**2).sum()) if len(ids) else w
-
-    def neighbours(self, ids: tuple[int, ...], w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        return ids, self.weighted(np.array(ids, np.int64), np.array([counts[i] for i in ids], float))
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights) the examples and cosines of the k nearest, exactly."""
+        n, out = len(self.labels), []
+        for at in range(0, len(queries), TOGETHER):
+            part = queries[at : at + TOGETHER]
+            q = np.zeros((len(part), len(self.dense)))
+            for row, (ids, w) in zip(q, part):
+                p = self.place[ids]
+                row[p[p >= 0]] = w[p >= 0]
+            for j, (acc, (ids, w)) in enumerate(zip(q @ self.dense, part)):
+                rare = self.place[ids] < 0
+                ids, w = ids[rare], w[rare]
+                lo, size = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
+                ends = np.cumsum(size)
+                if len(ids) and ends[-1]:
+                    flat = np.arange(ends[-1]) + np.repeat(lo - ends + size, size)
+                    acc = acc + np.bincount(self.who[flat], self.weight[flat] * np.repeat(w, size), n)
+                acc = np.round(acc, 12)  # whatever the order of the sums
+                if skip is not None:
+                    acc[skip[at + j]] = 0
+                least = max(np.partition(acc, n - self.k)[n - self.k], 1e-12) if n > self.k else 1e-12
+                i = np.flatnonzero(acc >= least)
+                i = i[np.argsort(-acc[i], kind="stable")[: self.k]]
+                out.append((i, acc[i]))
+        return out
+
+    def neighbours(self, ids: tuple[int, ...], w: np.ndarray, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest, exactly."""
-        upper = w @ self.bounds[list(ids)]
-        best_c, best_i = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-upper, kind="stable"):
-            if upper[b] <= 0 or len(best_c) == self.k and upper[b] < best_c[-1] - 1e-12:
-                break
-            acc = np.zeros(BLOCK)
-            for i, x in zip(ids, w):
-                who, weight, at = self.postings[i]
-                lo, hi = at[b], at[b + 1]
-                acc[who[lo:hi] - b * BLOCK] += x * weight[lo:hi]
-            here = np.flatnonzero(acc > 0)
-            here = here[here + b * BLOCK != skip]
-            c, i = np.concatenate([best_c, acc[here]]), np.concatenate([best_i, here + b * BLOCK])
-            order = np.lexsort((i, -np.round(c, 12)))[: self.k]
-            best_c, best_i = c[order], i[order]
-        return best_i, best_c
+        return self.nearest([(np.array(ids, np.int64), w)], None if skip is None else [skip])[0]
 
     def vote(self, who: np.ndarray, cosine: np.ndarray) -> float:
         weight = 1 / (1.05 - np.minimum(cosine, 1.0))
@@ -88,62 +132,75 @@ def _counts(text: str, terms: dict[str, int]) -> Counter:
     return Counter(terms[t] for w in LETTERS.findall(text.lower()) for t in terms_of(w) if t in terms)
 
 
-def without_copies(rows: list[tuple[str, int]], seeds: int = 4, width: int = 5) -> list[tuple[str, int]]:
-    """The first of each group of (near) copies: those that share a least hash of word windows.
+def without_copies(rows: list[tuple[str, int]], seeds: int = 4, width: int = 5, alike: float = 0.8) -> list[tuple[str, int]]:
+    """The first of each group of near copies: same label, Jaccard of `alike` over word windows.
 
-    Copies would lend their chance words the support of many examples."""
-    seen: set[tuple[int, int, int]] = set()
-    out = []
+    Rows that share a least hash of windows are compared.  Copies would lend their chance words the
+    support of many examples."""
+    seen: dict[tuple[int, int, int], list[int]] = {}
+    out, sets = [], []
     for text, label in rows:
         words = common.word_hashes((text or "").encode().lower().split())
-        w = common.window_hashes(words, min(width, len(words)) or 1)
+        w = np.unique(common.window_hashes(words, min(width, len(words)) or 1))
         keys = [(s, label, int(common.mix(w ^ np.uint64(s * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).min())) for s in range(1, seeds + 1)] if len(w) else [(0, label, 0)]
-        if seen.isdisjoint(keys):
+
+        def copies(other: np.ndarray) -> bool:
+            if min(len(w), len(other)) < alike * max(len(w), len(other)):
+                return False
+            both = len(np.intersect1d(w, other, assume_unique=True))
+            return both >= alike * (len(w) + len(other) - both)
+
+        if not any(copies(sets[i]) for i in sorted({i for k in keys for i in seen.get(k, ())})):
+            for k in keys:
+                seen.setdefault(k, []).append(len(out))
             out.append((text, label))
-        seen.update(keys)
+            sets.append(w)
     return out
 
 
-def learn(rows: list[tuple[str, int]], k: int = 15, most_terms: int = 6000, least_docs: int = 4, least_g: float = 30.0, bins: int = 20) -> Model:
+def learn(rows: list[tuple[str, int]], k: int = 15, floor: float = 0.02, half_g: float = 30.0, bins: int = 20) -> Model:
     """rows: (text, 0 or 1), in a fixed order."""
     rows = without_copies(rows)
     y = np.array([x for _, x in rows], float)
-    seen = [Counter(), Counter()]
-    for text, label in rows:
-        seen[label].update({t for w in set(LETTERS.findall((text or "").lower())) for t in terms_of(w)})
-    n0, n1 = max(1.0, (y == 0).sum()), max(1.0, (y == 1).sum())
-    told = []
+    first: dict[str, int] = {}
+    own = []
+    for text, _ in rows:
+        ids = [first.setdefault(t, len(first)) for w in LETTERS.findall((text or "").lower()) for t in terms_of(w)]
+        own.append(np.unique(np.array(ids, np.int64), return_counts=True))
+    names = sorted(first)
+    terms = {t: i for i, t in enumerate(names)}
+    again = np.empty(len(first), np.int64)
+    again[[first[t] for t in names]] = np.arange(len(names))
+    del first
+    own = [(again[ids][o := np.argsort(again[ids])], counts[o]) for ids, counts in own]
+    df, toxic = np.zeros(len(names)), np.zeros(len(names))
+    for (ids, _), label in zip(own, y):
+        df[ids] += 1
+        toxic[ids] += label
+    lean = np.zeros(len(names))
     if y.any() and not y.all():
-        for t in seen[0].keys() | seen[1].keys():
-            a, b = seen[1][t], seen[0][t]
-            n, part = a + b, n1 / (n0 + n1)
-            if n >= least_docs and a > part * n:
-                g = 2 * (a * np.log(a / (n * part)) + (b * np.log(b / (n * (1 - part))) if b else 0.0))
-                if g >= least_g:
-                    told.append((-g, t))
-    # an opening that one word explains says nothing more than that word
-    words = [t for _, t in told if not t[0].isdigit()]
-    alone = {d + w[: int(d)] for w in words for d in "45" if seen[1][w] >= 0.8 * seen[1][d + w[: int(d)]] and len(w) > int(d)}
-    told = [x for x in told if x[1] not in alone]
-    chosen = sorted(t for _, t in sorted(told)[:most_terms])
-    terms = {t: i for i, t in enumerate(chosen)}
-    df = np.array([seen[0][t] + seen[1][t] for t in chosen], float)
-    m = Model(terms, np.log1p(len(rows) / df) if len(df) else df, y, [], np.zeros((0, 0)), float(y.mean()) if len(y) else 0.0, 0.0, np.array([0.0, 1.0]), np.array([0.0, 1.0]), k)
-    vectors = [m.vector(_counts(text or "", terms)) for text, _ in rows]
-    empty = np.array([not ids for ids, _ in vectors], bool)
-    m.base_empty = float((y[empty].sum() + m.base) / (empty.sum() + 1)) if len(y) else 0.0
-    blocks = -(-len(rows) // BLOCK)
-    lists: list[list[tuple[int, float]]] = [[] for _ in chosen]
-    for d, (ids, w) in enumerate(vectors):
-        for i, x in zip(ids, w):
-            lists[i].append((d, x))
-    m.bounds = np.zeros((len(chosen), blocks))
-    for t, own in enumerate(lists):
-        who = np.array([d for d, _ in own], np.int64)
-        weight = np.array([x for _, x in own])
-        np.maximum.at(m.bounds[t], who // BLOCK, weight)
-        m.postings.append((who, weight, np.searchsorted(who, np.arange(blocks + 1) * BLOCK)))
-    votes = [(m.vote(*m.neighbours(ids, w, skip=d)), y[d]) for d, (ids, w) in enumerate(vectors) if ids]
+        part, clean = y.mean(), df - toxic
+        more = toxic > part * df
+        g = 2 * (toxic * np.log(np.maximum(toxic, 1) / (df * part)) + clean * np.log(np.maximum(clean, 1) / (df * (1 - part))))
+        lean[more] = g[more] / (g[more] + half_g)
+        # an opening that one word explains says nothing more than that word
+        for i in np.flatnonzero(lean):
+            w = names[i]
+            for d in "45" if not w[0].isdigit() else "":
+                if len(w) > int(d) and toxic[i] >= 0.8 * toxic[terms[d + w[: int(d)]]]:
+                    lean[terms[d + w[: int(d)]]] = 0
+    m = Model(terms, np.log1p(len(rows) / df) * (floor + lean), y, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), float(y.mean()) if len(y) else 0.0, 0.0, np.array([0.0, 1.0]), np.array([0.0, 1.0]), k)
+    vectors = [(ids, m.weighted(ids, counts)) for ids, counts in own]
+    empty = np.array([not len(ids) for ids, _ in vectors], bool)
+    if vectors:
+        flat = np.concatenate([ids for ids, _ in vectors])
+        order = np.argsort(flat, kind="stable")
+        m.who = np.repeat(np.arange(len(rows), dtype=np.int32), [len(ids) for ids, _ in vectors])[order]
+        m.weight = np.concatenate([w for _, w in vectors])[order]
+        m.starts = np.searchsorted(flat[order], np.arange(len(names) + 1))
+    known = np.flatnonzero(~empty)
+    found = m.nearest([vectors[d] for d in known], [int(d) for d in known])
+    votes = [(m.vote(*x), y[d]) for d, x in zip(known, found)]
     if len({b for _, b in votes}) == 2:  # bins of equal counts, then made monotone by pooling
         votes.sort()
         pools: list[list[float]] = []
@@ -155,6 +212,8 @@ def learn(rows: list[tuple[str, int]], k: int = 15, most_terms: int = 6000, leas
         m.cuts = np.array([0.0, *(p[0] for p in pools), 1.0])
         v = [p[1] / p[2] for p in pools]
         m.values = np.array([v[0], *v, v[-1]])
+    prior = m.values[0] if y.any() and not y.all() else m.base
+    m.base_empty = float((y[empty].sum() + prior) / (empty.sum() + 1))
     return m
 
 
@@ -177,32 +236,34 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        done: dict[tuple, tuple[float, int, float]] = {}
+        done: dict[bytes, tuple[float, int, float]] = {}
         kinds: dict[str, tuple[int, ...]] = {}
+
+        def read(text: str) -> tuple[np.ndarray, np.ndarray]:
+            own: list[int] = []
+            for w in LETTERS.findall(text.lower()):
+                hit = kinds.get(w)
+                if hit is None:
+                    if len(kinds) > 400_000:
+                        kinds.clear()
+                    hit = kinds[w] = tuple(m.terms[t] for t in terms_of(w) if t in m.terms)
+                own += hit
+            ids, counts = np.unique(np.array(own, np.int64), return_counts=True)
+            return ids, m.weighted(ids, counts)
+
         for batch in batches:
             out = []
-            for text in batch.column(1):
-                counts: Counter = Counter()
-                for w in LETTERS.findall((text.as_py() or "").lower()):
-                    hit = kinds.get(w)
-                    if hit is None:
-                        if len(kinds) > 400_000:
-                            kinds.clear()
-                        hit = kinds[w] = tuple(m.terms[t] for t in terms_of(w) if t in m.terms)
-                    if hit:
-                        counts.update(hit)
-                key = tuple(sorted(counts.items()))
-                got = done.get(key)
-                if got is None:
-                    if len(done) > 50_000:
-                        done.clear()
-                    if not key:
-                        got = (m.base_empty, 0, 0.0)
-                    else:
-                        who, cosine = m.neighbours(*m.vector(counts))
-                        got = (m.calibrated(m.vote(who, cosine)), len(who), float(min(1.0, cosine[0])))
-                    done[key] = got
-                out.append(got)
+            for at in range(0, batch.num_rows, TOGETHER):
+                texts = [x or "" for x in batch.column(1).slice(at, TOGETHER).to_pylist()]
+                keys = [xxhash.xxh3_128_digest(x.encode()) for x in texts]
+                if len(done) > 50_000:
+                    done.clear()
+                new = {key: read(x) for key, x in dict(zip(keys, texts)).items() if key not in done}
+                done |= {key: (m.base_empty, 0, 0.0) for key, (ids, _) in new.items() if not len(ids)}
+                new = {key: x for key, x in new.items() if len(x[0])}
+                for key, (who, cosine) in zip(new, m.nearest(list(new.values()))):
+                    done[key] = (m.calibrated(m.vote(who, cosine)), len(who), float(min(1.0, cosine[0])))
+                out += [done[key] for key in keys]
             cols = list(zip(*out)) or [(), (), ()]
             arrays = [batch.column(0), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "n_neighbours", "best_cosine"])

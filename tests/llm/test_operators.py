@@ -93,6 +93,21 @@ def test_toxicity_neighbours_are_exact(spark):
     assert toxicity.learn([]).base == 0.0
 
 
+def test_toxicity_keeps_terms_of_every_support(spark):
+    rng = random.Random(6)
+    rows = [(prose(rng, 30), i % 2) for i in range(60)]  # no word leans far to a class
+    m = toxicity.learn(rows)
+    copies = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(copies, m).collect()}
+    assert all(got[i].best_cosine == pytest.approx(1) and got[i].n_neighbours == m.k for i in range(60))
+    few = [(prose(rng, 30) + (" vile" if i < 6 else ""), int(i < 6)) for i in range(60)]
+    m = toxicity.learn(few)
+    assert m.idf[m.terms["vile"]] == m.idf.max()
+    half = prose(rng, 30).split()
+    rows = [(" ".join(half[:15] + prose(rng, 15).split()), 0) for _ in range(20)]
+    assert toxicity.without_copies(rows + rows) == rows
+
+
 def test_quality_statistics_and_rules(spark, docs, texts):
     got = {r.doc_id: r for r in quality_rules.with_statistics(docs).collect()}
     for i, t in enumerate(texts):
