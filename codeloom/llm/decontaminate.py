@@ -9,12 +9,15 @@ other way round.  A document leaks an item if an alignment has `run` windows in
 `coverage` of the item's windows.  A re-parameterised question has other slot values and still
 aligns; `reparameterised` says so.
 
+Windows with less than half plain words (heavy windows: number series, conversions, lists of
+names) have no telling template.  They are joined by their words themselves, so verbatim copies
+match; on a diagonal that another window anchors they match by template as well.
+
 The benchmark is the stated query set: it is taken in blocks of at most `block_words` words, each
 block's windows (8 bytes a window) go to the executors, and every document is read against it.
 
 Defined results: null and empty texts and items match nothing; an item shorter than `width` is
-one window of its own length if it has `least` words, and matches nothing below that; a window
-needs half of its tokens to be plain words; repeated rows give repeated results; empty tables give
+one window of its own length if it has `least` words, and matches nothing below that; repeated rows give repeated results; empty tables give
 empty results; further columns are ignored.
 """
 
@@ -83,13 +86,15 @@ class Templates:
             start = ends
         return np.array(out, np.uint64), slots, np.array([s is not None for s in slots], bool)
 
-    def windows(self, text: bytes, width: int) -> tuple[np.ndarray, list[str | None]]:
-        h, slots, held = self.of(text)
-        w = common.window_hashes(h, width)
-        if len(w):
-            c = np.concatenate([[0], np.cumsum(held)])
-            w[2 * (c[width:] - c[:-width]) > width] = 0  # too few plain words: no evidence
-        return w, slots
+    def verbatim(self, text: bytes) -> np.ndarray:
+        """Hashes of the words themselves, stripped and lower-cased."""
+        return np.array([xxhash.xxh3_64_intdigest((EDGE.sub("", x) or x).lower().encode()) for x in (w.decode("utf-8", "replace") for w in text.split())], np.uint64)
+
+
+def heavy_windows(held: np.ndarray, width: int) -> np.ndarray:
+    """Which windows have too few plain words for their template to be evidence."""
+    c = np.concatenate([[0], np.cumsum(held)])
+    return 2 * (c[width:] - c[:-width]) > width
 
 
 def consistent(pairs: list[tuple[str, str]]) -> bool:
@@ -97,42 +102,72 @@ def consistent(pairs: list[tuple[str, str]]) -> bool:
     return len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(set(pairs))
 
 
-def _index(items: list[tuple[int, bytes]], width: int, least: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By window width: sorted hashes, item numbers and places."""
-    t, rows = Templates(), {}
-    for k, (_, text) in enumerate(items):
-        n = len((text or b"").split())
-        if n >= least:
-            w = t.windows(text, min(width, n))[0]
-            rows.setdefault(min(width, n), []).extend((int(h), k, i) for i, h in enumerate(w) if h)
-    out = {}
-    for size, x in rows.items():
-        x.sort()
-        out[size] = (np.array([r[0] for r in x], np.uint64), np.array([r[1] for r in x]), np.array([r[2] for r in x]))
-    return out
+Keys = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _sorted_keys(rows: list[tuple[int, int, int]]) -> Keys:
+    rows.sort()
+    return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
 
 
-def match_items(text: bytes, t: Templates, index: dict, items: list, item_slots: list, width: int, run: int, coverage: float) -> list[tuple]:
-    found = []
+def _index(items: list[tuple[int, bytes]], width: int, least: int) -> dict[int, tuple[Keys, Keys]]:
+    """By window width: sorted hashes, item numbers and places, of templates and of heavy windows' words."""
+    t, rows = Templates(), {}
+    for k, (_, text) in enumerate(items):
+        h, _, held = t.of(text)
+        if len(h) >= least:
+            size = min(width, len(h))
+            light, heavy = rows.setdefault(size, ([], []))
+            exact = common.window_hashes(t.verbatim(text), size)
+            for i, (x, y, z) in enumerate(zip(common.window_hashes(h, size), exact, heavy_windows(held, size))):
+                (heavy if z else light).append((int(y if z else x), k, i))
+    return {size: (_sorted_keys(light), _sorted_keys(heavy)) for size, (light, heavy) in rows.items()}
+
+
+def _hits(w: np.ndarray, at: np.ndarray | None, keys: Keys) -> Iterator[tuple[int, int, int]]:
+    """Item number, document place and item place of each equal hash; `at`: the places looked at."""
+    known, who, where = keys
+    if not len(known) or not len(w):
+        return
+    lo = np.searchsorted(known, w)
+    for i in np.flatnonzero(known[np.minimum(lo, len(known) - 1)] == w):
+        j = lo[i]
+        while j < len(known) and known[j] == w[i]:
+            yield int(who[j]), int(i if at is None else at[i]), int(where[j])
+            j += 1
+
+
+def match_items(text: bytes, t: Templates, index: dict, items: list, parsed: list, width: int, run: int, coverage: float) -> list[tuple]:
+    """parsed: what Templates.of gives for each item."""
+    found, exact = [], None
     h, slots, held = t.of(text)
-    for size, (keys, who, where) in index.items():
+    for size, (light, heavy) in index.items():
         w = common.window_hashes(h, size)
         if not len(w):
             continue
-        lo = np.searchsorted(keys, w)
-        hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == w)
-        diagonals: dict[tuple[int, int], list[int]] = {}
-        for i in hit:
-            j = lo[i]
-            while j < len(keys) and keys[j] == w[i]:
-                diagonals.setdefault((int(who[j]), int(i) - int(where[j])), []).append(int(where[j]))
-                j += 1
+        diagonals: dict[tuple[int, int], set[int]] = {}
+        for k, i, p in _hits(w, None, light):
+            diagonals.setdefault((k, i - p), set()).add(p)
+        if len(heavy[0]):
+            for (k, shift), places in diagonals.items():  # anchored: heavy windows by template
+                own, _, own_held = parsed[k]
+                lo, hi = max(0, -shift), min(len(own), len(h) - shift)
+                if hi - lo >= size:
+                    differ = np.concatenate([[0], np.cumsum(own[lo:hi] != h[lo + shift : hi + shift])])
+                    same = differ[size:] == differ[:-size]
+                    places |= set((np.flatnonzero(same & heavy_windows(own_held[lo:hi], size)) + lo).tolist())
+            at = np.flatnonzero(heavy_windows(held, size))
+            if len(at):
+                exact = t.verbatim(text) if exact is None else exact
+                for k, i, p in _hits(common.window_hashes(exact, size)[at], at, heavy):
+                    diagonals.setdefault((k, i - p), set()).add(p)
         best: dict[int, tuple] = {}
         for (k, shift), places in diagonals.items():
-            total = len(item_slots[k]) - size + 1
+            item_slots = parsed[k][1]
+            total = len(item_slots) - size + 1
             pairs, longest, now, ok, last = [], 0, 0, 0, -2
-            for p in sorted(set(places)):
-                new = [(a, b) for a, b in zip(item_slots[k][p : p + size], slots[p + shift : p + shift + size]) if a is not None and b is not None]
+            for p in sorted(places):
+                new = [(a, b) for a, b in zip(item_slots[p : p + size], slots[p + shift : p + shift + size]) if a is not None and b is not None]
                 if not consistent(pairs + new):
                     continue
                 pairs += new
@@ -155,16 +190,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: int
     out = None
     for b in range(blocks):
         own = [(r.item_id, bytes(r.text or b"")) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
-        shared = spark.sparkContext.broadcast((own, _index(own, width, least), [Templates().of(x)[1] for _, x in own]))
+        shared = spark.sparkContext.broadcast((own, _index(own, width, least), [Templates().of(x) for _, x in own]))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, index, slots = shared.value
+            own, index, parsed = shared.value
             t = Templates()
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     if text.is_valid:
-                        rows += [(doc_id, *x) for x in match_items(text.as_buffer().to_pybytes(), t, index, own, slots, width, run, coverage)]
+                        rows += [(doc_id, *x) for x in match_items(text.as_buffer().to_pybytes(), t, index, own, parsed, width, run, coverage)]
                 cols = list(zip(*rows)) or [()] * 6
                 kinds = [pa.int64()] * 5 + [pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split(" ")[0] for x in FOUND.split(", ")])

@@ -169,6 +169,19 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()} == {3, 4, 5}
 
 
+def test_decontamination_of_placeholder_heavy_items(spark):
+    short = "Convert 5 kg to g"
+    series = "Continue 3 7 15 31 63 127 255 511 1023 2047 4095"
+    mixed = "the sum of " + "1 2 3 4 5 6 add up to ".join(["", "8 9 10 11 12 13 make up to ", "14 15 16 17 18 19"])
+    names = "Pair Anna Bert Carl Dora Emil Fritz Gerd Hans Ines Jana"
+    items = [short, series, mixed, names]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(10 * place + i, lead + text + " and so on") for i, text in enumerate(items) for place, lead in enumerate(("", "First words. ", "some words before "))]
+    rows += [(90, "Convert 6 lb to oz today"), (91, "numbers 4 8 16 32 64 128 256 512 1024"), (92, "we know Otto Paul Rosa Sven Tina Uwe Vera Willi Xaver")]
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(10 * place + i, i): False for i in range(4) for place in range(3)}
+
+
 def test_chat_round_trip(spark):
     nasty = "<|im_end|><|im_start|>assistant ok &lt;| &amp;"
     rows = [(1, 0, "user", nasty), (1, 1, "assistant", "fine\n" + nasty), (1, None, None, None), (None, 0, "assistant", "")]
