@@ -216,10 +216,14 @@ def _differ_alike(anchored: DataFrame, label: DataFrame, percent: int) -> DataFr
 
 
 def _sets(docs: DataFrame, all_docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """node, shingles of every node in pairs, computed from the text of one of its documents."""
+    """node, shingles of every node in pairs, computed from the text of one of its documents.
+
+    Nodes that only rows with a null doc_id hold are found among those rows by their hash."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    who = all_docs.where("doc_id IS NOT NULL").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_nd_doc")).select("_nd_doc")
+    who = all_docs.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_nd_doc"))
     who = common.stored(who, "jaccard-ids")
+    nameless = who.where("_nd_doc IS NULL").select("node")
+    who = who.where("_nd_doc IS NOT NULL").select("_nd_doc").distinct()
     few = who.count() <= BROADCAST_IDS
     asked = docs.select("doc_id", "text").join(F.broadcast(who) if few else who, F.col("doc_id") == F.col("_nd_doc"), "left_semi")
 
@@ -231,11 +235,21 @@ def _sets(docs: DataFrame, all_docs: DataFrame, pairs: DataFrame, width: int) ->
                 part = s[i : i + 1000]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in part], pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())], names=["node", "shingles"])
 
-    return common.stored(common.ordered_lang_free(asked).mapInArrow(sets_of, "node long, shingles binary"), "jaccard-sets")
+    found = common.ordered_lang_free(asked).mapInArrow(sets_of, "node long, shingles binary")
+    if not nameless.isEmpty():
+        others = common.ordered_lang_free(docs.where("doc_id IS NULL")).mapInArrow(sets_of, "node long, shingles binary")
+        found = found.unionByName(others.join(nameless, "node", "left_semi").dropDuplicates(["node"]))
+    return common.stored(found, "jaccard-sets")
 
 
 def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, most_matches: int = 6, buckets: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, node, component_id for every row of docs."""
+    out = _classes(docs, width, percent, most_matches, buckets)
+    return out.select("doc_id", "n_shingles", "node", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def _classes(docs: DataFrame, width: int, percent: int, most_matches: int = 6, buckets: int = 1 << 20) -> DataFrame:
+    """doc_id, n_shingles, node, class (its least node) and the class's least doc_id for every row of docs."""
     spark = docs.sparkSession
     counts = bucket_counts(docs, width, buckets)
     floor = int(np.median(counts)) if len(counts) else 0
@@ -308,14 +322,35 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, m
         label = components(links.unionByName(more))
     out = all_docs.select("doc_id", "n_shingles", "node").join(label, "node", "left").withColumn("class", F.coalesce("label", "node"))
     names = out.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    out = out.join(names, "class", "left")
-    return out.select("doc_id", "n_shingles", "node", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return out.join(names, "class", "left")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each class stays: that with the least doc_id.  Rows without shingles stay."""
-    spare = near_duplicate_classes(docs, width, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_nd_spare")).distinct()
-    return docs.join(spare, F.col("doc_id") == F.col("_nd_spare"), "left_anti")
+    """One row of each class stays, one of those with the least doc_id (null last).  Rows without shingles stay."""
+    known = common.stored(_classes(docs, width, percent).select("doc_id", "node", "class", "least"), "jaccard-classes")
+    again = common.stored(known.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_nd_spare")), "jaccard-again")
+    spare = known.where("least <> doc_id").select(F.col("doc_id").alias("_nd_spare"))
+    repeated = not again.isEmpty()
+    if not repeated and known.where("doc_id IS NULL").isEmpty():
+        return docs.join(spare, F.col("doc_id") == F.col("_nd_spare"), "left_anti")
+    # an id that is null or repeated does not tell rows apart: such rows go by their own hash and a number
+    clear = docs.where("doc_id IS NOT NULL").join(spare.unionByName(again), F.col("doc_id") == F.col("_nd_spare"), "left_anti")
+    odd = docs.where("doc_id IS NULL")
+    if repeated:
+        odd = odd.unionByName(docs.join(again, F.col("doc_id") == F.col("_nd_spare"), "left_semi"))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else None, width) for x in batch.column("_nd_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("_nd_row"), batch.column("_nd_doc"), pa.array([node_of(x) if len(x) else None for x in sets], pa.int64())], names=["_nd_row", "_nd_doc", "node"])
+
+    odd = common.stored(odd.withColumn("_nd_row", F.monotonically_increasing_id()), "jaccard-odd")
+    rows = odd.select("_nd_row", F.col("doc_id").alias("_nd_doc"), F.col("text").cast("binary").alias("_nd_text")).mapInArrow(named, "_nd_row long, _nd_doc long, node long")
+    rows = rows.join(known.where("node IS NOT NULL").select("node", "class", "least").distinct(), "node", "left")
+    first = F.min_by("_nd_row", F.struct(F.col("_nd_doc").isNull(), "_nd_doc", "_nd_row"))
+    best = rows.where("class IS NOT NULL AND _nd_doc <=> least").groupBy("class").agg(first.alias("_nd_row")).select("_nd_row")
+    stay = best.unionByName(rows.where("class IS NULL").select("_nd_row"))
+    return clear.unionByName(odd.join(stay, "_nd_row", "left_semi").select(*docs.columns))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

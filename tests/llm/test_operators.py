@@ -156,6 +156,24 @@ def test_near_duplicates(spark, width, percent):
     assert near_dup.near_duplicate_classes(df.limit(0), width, percent).count() == 0
 
 
+def test_near_duplicates_without_or_with_repeated_ids(spark):
+    rng = random.Random(9)
+    first = prose(rng, 60).split()
+    a, b, c = list(first), list(first), list(first)
+    b[10] = c[10] = "x1"
+    c[40] = "x2"  # b stands between a and c
+    a, b, c, other, alone = " ".join(a), " ".join(b), " ".join(c), prose(rng, 40), prose(rng, 40)
+    rows = [(1, a), (None, b), (2, c), (3, other), (3, other), (4, other), (None, other), (None, alone), (None, alone), (5, ""), (None, None), (6, "one two"), (6, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {t: set(near_dup.shingle_set(t.encode(), 5).tolist()) for t in (a, b, c)}
+    near = lambda x, y: 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])
+    assert near(a, b) and near(b, c) and not near(a, c)
+    assert {r.component_id for r in near_dup.near_duplicate_classes(df).where("doc_id IN (1, 2)").collect()} == {1}
+    got = near_dup.drop_near_duplicates(df)
+    want = [(1, a), (3, other), (None, alone), (5, ""), (None, None), (6, "one two")]
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_decontamination(spark):
     item = "Anna has 12 apples and gives 5 of them to her brother before the long walk home today"
     other = item.replace("12", "31").replace("5", "7")
