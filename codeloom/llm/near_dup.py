@@ -137,7 +137,8 @@ def is_early(info: str, percent: int) -> Column:
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, label) of every linked node, label being the least node of its component.
 
-    Alternating large-star and small-star; each round's edges are checkpointed."""
+    Alternating large-star and small-star; each round's edges are checkpointed.  An error if they
+    are not stars after `most_rounds`."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = edges.checkpoint()
     before = None
@@ -153,6 +154,8 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components not stable after {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 

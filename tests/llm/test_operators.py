@@ -174,6 +174,13 @@ def test_near_duplicates_without_or_with_repeated_ids(spark):
     assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_components_must_be_stable(spark):
+    path = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.label for r in near_dup.components(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        near_dup.components(path, most_rounds=1)
+
+
 def test_decontamination(spark):
     item = "Anna has 12 apples and gives 5 of them to her brother before the long walk home today"
     other = item.replace("12", "31").replace("5", "7")
