@@ -122,7 +122,7 @@ def nearest_ancestor(parents: DataFrame, values: DataFrame) -> DataFrame:
     return at.select("node", "value")
 
 
-def method_orders(bases: DataFrame, most_rounds: int = 64) -> DataFrame:
+def method_orders(bases: DataFrame) -> DataFrame:
     """(node, chain): the C3 order of each class of rows (node, bases array, nearest first).
 
     A class is ordered once all its bases are; unknown bases are classes without bases.  A class
@@ -149,7 +149,7 @@ def method_orders(bases: DataFrame, most_rounds: int = 64) -> DataFrame:
     outside = pairs.select(F.col("base").alias("node")).distinct().join(rows, "node", "left_anti").select("node", F.array("node").alias("chain"))
     done = _checkpointed(rows.where("size(bases) = 0").select("node", F.array("node").alias("chain")).unionByName(outside))
     left = _checkpointed(rows.where("size(bases) > 0"))
-    for _ in range(most_rounds):
+    while True:  # until no class becomes ready: each round orders one at least
         known = done.select(F.col("node").alias("base"), F.col("chain").alias("above"), F.lit(1).alias("known"))
         ready = left.select("node", "bases", F.posexplode("bases").alias("at", "base")).join(known, "base", "left")
         ready = ready.groupBy("node", "bases").agg(F.count("known").alias("n"), F.array_sort(F.collect_list(F.struct("at", "above"))).alias("above"))

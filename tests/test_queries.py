@@ -68,6 +68,11 @@ def test_closure_with_cycle_self_call_and_no_seed(spark):
     assert pruned == {(4, "orphan"), (5, "orphan"), (6, "dead_cluster")}
 
 
+def test_class_orders_of_a_deep_hierarchy(spark):
+    deep = spark.createDataFrame([(f"c{i}", [f"c{i - 1}"] if i else []) for i in range(68)], "node string, bases array<string>")
+    assert {r.node: r.chain for r in g.method_orders(deep).collect()}["c67"] == [f"c{i}" for i in range(67, -1, -1)]
+
+
 def test_missing_lines_are_selected(spark):
     units = spark.createDataFrame([(1, "a", None, None), (2, "a", 1, 2), (3, "a", 5, 9), (4, "b", None, None)], "id int, file string, start int, end int")
     hunks = spark.createDataFrame([("a", 6, 7)], "file string, a int, b int")
