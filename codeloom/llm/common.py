@@ -6,6 +6,7 @@ texts travel as UTF-8 bytes, because ``bytes.split()`` cuts at exactly those six
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,12 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    A private folder is set only where that setting is missing, as in tests.
+    A private folder is set only where that setting is missing and all runs in one process, as in
+    tests; on a cluster its absence is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if sc.getCheckpointDir() is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/codeloom-{tag}-{uuid.uuid4().hex}"
@@ -45,6 +49,28 @@ def stored(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Named tables of one run in a fresh shared folder, which can be dropped once nothing reads them."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.base = spark, shared_path(spark, tag)
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.base}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def small(df: DataFrame, most_rows: int) -> DataFrame:
+    """Marked for broadcast if it has at most so many rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

@@ -36,8 +36,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SLICES = 64
-#: Ids of documents to check are broadcast up to this many (16 bytes each), joined by shuffle beyond.
+#: Documents to check are broadcast up to this many (about 100 bytes each), joined by shuffle beyond.
 BROADCAST_IDS = 500_000
+#: Labels and anchors of nodes likewise (24 bytes each).
+BROADCAST_NODES = 1_000_000
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -68,14 +70,16 @@ def bucket_counts(docs: DataFrame, width: int, buckets: int) -> np.ndarray:
             if held:
                 total += np.bincount((np.concatenate(held) % np.uint64(buckets)).astype(np.int64), minlength=buckets)
         for i, part in enumerate(np.array_split(total, SLICES)):
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.astype(np.uint32 if part.max(initial=0) < 2**32 else np.uint64).astype(np.uint64).tobytes()], pa.binary())], names=["slice", "counts"])
+            kind = np.uint16 if part.max(initial=0) < 1 << 16 else np.uint64
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.astype(kind).tobytes()], pa.binary())], names=["slice", "counts"])
+
+    sizes = [len(x) for x in np.array_split(np.zeros(buckets, np.uint8), SLICES)]
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros(sizes[key[0].as_py()], np.uint64)
         for batch in batches:
             for x in batch.column("counts"):
-                part = np.frombuffer(x.as_buffer(), np.uint64)
-                total = part.copy() if total is None else total + part
+                total += np.frombuffer(x.as_buffer(), np.uint16 if len(x.as_buffer()) == 2 * len(total) else np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
 
     rows = common.ordered_lang_free(docs).mapInArrow(count, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect()
@@ -134,15 +138,18 @@ def is_early(info: str, percent: int) -> Column:
     return 2 * percent * (place(info) - wanted(info) + 1) <= (100 - percent) * size_of(info)
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, label) of every linked node, label being the least node of its component.
 
-    Alternating large-star and small-star; each round's edges are checkpointed.  An error if they
-    are not stars after `most_rounds`."""
+    Alternating large-star and small-star until the edges are stable stars; each round's edges are
+    checkpointed.  An error if a bound is given and they are not stable after it."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = edges.checkpoint()
-    before = None
-    for _ in range(most_rounds):
+    before, rounds = None, 0
+    while True:
+        if most_rounds is not None and rounds >= most_rounds:
+            raise RuntimeError(f"components not stable after {most_rounds} rounds")
+        rounds += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -154,38 +161,92 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components not stable after {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 16) -> DataFrame:
+HELD = "a long, salt int, tail boolean, node long, shingles binary"
+COMPARED = "a long, b long, linked boolean, size long, only_b array<long>, only_a array<long>"
+
+
+def _compare(pairs: DataFrame, docs: DataFrame, ids: DataFrame, scratch: common.Scratch, name: str, width: int, percent: int, salts: int = 16) -> DataFrame:
     """a, b, linked (the exact test) and how b differs from a: size (of b), only_b, only_a.
 
-    The last two are null where the sets have less than half of their union in common.  Hot first
-    nodes are split by salt."""
-    salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    # a's set is repeated once for each salt in use, then meets its partners' sets
-    heads = pairs.select("a", salt.alias("salt")).distinct().join(left, "a")
-    held = pairs.withColumn("salt", salt).join(right, "b").join(heads, ["a", "salt"])
+    The last two are null where the sets have less than half of their union in common.  Each set is
+    computed where one of its documents lies and goes once to each of its comparisons: the set of a
+    first, then those of its partners b, in as many groups as a hot a has salts.  Sets that only
+    rows with a null doc_id hold are found among those rows by their hash."""
+    salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt")
+    jobs = pairs.select(F.col("a").alias("node"), "a", salt, F.lit(False).alias("tail")).distinct().unionByName(pairs.select(F.col("b").alias("node"), "a", salt, F.lit(True).alias("tail")))
+    jobs = jobs.groupBy("node").agg(F.collect_list(F.struct("a", "salt", "tail")).alias("jobs"))  # no more than the node has prefix shingles and salts
+    at = scratch.store(ids.groupBy("node").agg(F.min("doc_id").alias("_nd_doc")).join(jobs, "node"), f"{name}-jobs")
+    nameless = at.where("_nd_doc IS NULL")
+    by_doc = at.where("_nd_doc IS NOT NULL").groupBy("_nd_doc").agg(F.collect_list(F.struct("node", "jobs")).alias("asked"))
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # repeated rows are sent once a task
+        for batch in batches:
+            rows: list[tuple] = []
+            for (_, text), asked in zip(_texts(batch), batch.column(2)):
+                s = shingle_set(text, width)
+                node = node_of(s) if len(s) else None
+                if node is None or node in done:
+                    continue
+                if len(done) < 2_000_000:
+                    done.add(node)
+                data = s.tobytes()
+                for x in asked.as_py():
+                    if x["node"] == node:
+                        rows += [(j["a"], j["salt"], j["tail"], node, data) for j in x["jobs"]]
+                if len(rows) > 500:
+                    yield _held(rows)
+                    rows = []
+            yield _held(rows)
+
+    text = F.col("text").cast("binary").alias("text")
+    held = docs.select("doc_id", text).join(common.small(by_doc, BROADCAST_IDS), F.col("doc_id") == F.col("_nd_doc")).select("doc_id", "text", "asked").mapInArrow(sets_of, HELD)
+    if not nameless.isEmpty():
+        others = common.ordered_lang_free(docs.where("doc_id IS NULL")).mapInArrow(_named_sets(width), "node long, shingles binary").dropDuplicates(["node"])
+        held = held.unionByName(others.join(nameless.select("node", F.explode("jobs").alias("j")), "node").select("j.a", "j.salt", "j.tail", "node", "shingles"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, x = None, None
         for batch in batches:
-            linked, size, only_b, only_a = [], [], [], []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            out: list[tuple] = []
+            for a, salt, tail, node, data in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+                y = np.frombuffer(data.as_buffer(), np.uint64)
+                if not tail:
+                    group, x = (a, salt), y.copy()
+                    continue
+                if group != (a, salt):
+                    raise RuntimeError(f"the set of node {a} is missing")
                 both = np.intersect1d(x, y, assume_unique=True)
-                linked.append(100 * len(both) >= percent * (len(x) + len(y) - len(both)))
-                size.append(len(y))
                 near = 2 * len(both) >= len(x) + len(y) - len(both)
-                only_b.append(common.signed(np.setdiff1d(y, both, assume_unique=True)) if near else None)
-                only_a.append(common.signed(np.setdiff1d(x, both, assume_unique=True)) if near else None)
-            lists = [pa.array(v, pa.list_(pa.int64())) for v in (only_b, only_a)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), *lists], names=["a", "b", "linked", "size", "only_b", "only_a"])
+                differ = [common.signed(np.setdiff1d(p, both, assume_unique=True)) if near else None for p in (y, x)]
+                out.append((a, node, 100 * len(both) >= percent * (len(x) + len(y) - len(both)), len(y), *differ))
+            cols = list(zip(*out)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split(" ")[0] for x in COMPARED.split(", ")])
+
+    out = scratch.store(held.repartition("a", "salt").sortWithinPartitions("a", "salt", "tail").mapInArrow(test, COMPARED), name)
+    scratch.drop(f"{name}-jobs")
+    return out
 
-    return held.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long, linked boolean, size long, only_b array<long>, only_a array<long>")
+
+def _held(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 5
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split(" ")[0] for x in HELD.split(", ")])
+
+
+def _named_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = [x for x in (shingle_set(t, width) for _, t in _texts(batch)) if len(x)]
+            for i in range(0, len(s), 1000):
+                part = s[i : i + 1000]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in part], pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())], names=["node", "shingles"])
+
+    return run
 
 
 def _anchored(compared: DataFrame) -> DataFrame:
@@ -195,7 +256,7 @@ def _anchored(compared: DataFrame) -> DataFrame:
     return near.join(asked, "a").groupBy(F.col("b").alias("node")).agg(F.max_by(F.struct(F.col("a").alias("anchor"), "size", F.col("only_b").alias("ups"), F.col("only_a").alias("downs")), F.struct("asked", "a")).alias("own")).select("node", "own.*")
 
 
-def _differ_alike(anchored: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+def _differ_alike(anchored: DataFrame, label: DataFrame, percent: int, scratch: common.Scratch) -> DataFrame:
     """Pairs (a, b) of nodes with one anchor and different labels that may link.
 
     Nodes A, B with anchor H differ in |dA| + |dB| - 2 |dA & dB| shingles, dX being how X differs from
@@ -210,7 +271,7 @@ def _differ_alike(anchored: DataFrame, label: DataFrame, percent: int) -> DataFr
     rows = rows.join(often, ["anchor", "element"]).withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("often", "element")).cast("long") - 1)
     most = (100 - percent) * F.col("size")  # percent times the most that a linked node may differ
     rows = rows.where((F.col("low") < F.col("high")) & (percent * F.col("at") <= most)).select("anchor", "element", "node", "label", "size", "d", "at", (2 * percent * F.col("at") <= most).alias("early"))
-    rows = common.stored(rows, "jaccard-differences")
+    rows = scratch.store(rows, "differences")
     named = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "d", "at", "early")]
     met = rows.where("early").select("anchor", "element", *named("a")).join(rows.select("anchor", "element", *named("b")), ["anchor", "element"])
     apart = F.col("at_a") + F.col("at_b") + F.abs((F.col("d_a") - F.col("at_a")) - (F.col("d_b") - F.col("at_b")))
@@ -218,33 +279,6 @@ def _differ_alike(anchored: DataFrame, label: DataFrame, percent: int) -> DataFr
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
-def _sets(docs: DataFrame, all_docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """node, shingles of every node in pairs, computed from the text of one of its documents.
-
-    Nodes that only rows with a null doc_id hold are found among those rows by their hash."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    who = all_docs.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_nd_doc"))
-    who = common.stored(who, "jaccard-ids")
-    nameless = who.where("_nd_doc IS NULL").select("node")
-    who = who.where("_nd_doc IS NOT NULL").select("_nd_doc").distinct()
-    few = who.count() <= BROADCAST_IDS
-    asked = docs.select("doc_id", "text").join(F.broadcast(who) if few else who, F.col("doc_id") == F.col("_nd_doc"), "left_semi")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = [shingle_set(t, width) for _, t in _texts(batch)]
-            s = [x for x in s if len(x)]
-            for i in range(0, len(s), 1000):
-                part = s[i : i + 1000]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in part], pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())], names=["node", "shingles"])
-
-    found = common.ordered_lang_free(asked).mapInArrow(sets_of, "node long, shingles binary")
-    if not nameless.isEmpty():
-        others = common.ordered_lang_free(docs.where("doc_id IS NULL")).mapInArrow(sets_of, "node long, shingles binary")
-        found = found.unionByName(others.join(nameless, "node", "left_semi").dropDuplicates(["node"]))
-    return common.stored(found, "jaccard-sets")
-
-
 def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, most_matches: int = 6, buckets: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, node, component_id for every row of docs."""
     out = _classes(docs, width, percent, most_matches, buckets)
@@ -282,34 +316,38 @@ def _classes(docs: DataFrame, width: int, percent: int, most_matches: int = 6, b
                 names=["doc_id", "node", "n_shingles", "matches", "prefix"],
             )
 
-    all_docs = common.stored(texts.mapInArrow(emit, "doc_id long, node long, n_shingles long, matches int, prefix array<long>"), "jaccard-prefix")
+    scratch = common.Scratch(spark, "jaccard")
+    all_docs = scratch.store(texts.mapInArrow(emit, "doc_id long, node long, n_shingles long, matches int, prefix array<long>"), "prefix")
+    ids = scratch.store(all_docs.select("doc_id", "n_shingles", "node"), "ids")
     rows = all_docs.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("at", "token"), "node", "n_shingles", "matches")
     rows = rows.select("token", "node", packed("n_shingles", "at", "matches").alias("info"))
     many = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
     # one row per shingle and node: a node that several tasks have sent counts once
-    met = common.stored(rows.join(many, "token").dropDuplicates(["token", "node"]), "jaccard-met")
+    met = scratch.store(rows.join(many, "token").dropDuplicates(["token", "node"]), "met")
+    scratch.drop("prefix")
     # round 1: each shingle's nodes against that which holds it at the earliest place
-    hubs = met.groupBy("token").agg(F.min(F.struct(place("info").alias("at"), "node")).alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    hubs = hubs.select("token", F.col("hub.node").alias("hub"))
-    heads = met.join(hubs, (met["token"] == hubs["token"]) & (met["node"] == hubs["hub"]), "left_semi").select("token", F.col("node").alias("a"), F.col("info").alias("ia"))
-    star = met.select("token", F.col("node").alias("b"), F.col("info").alias("ib")).join(heads, "token").where("a <> b")
+    hubs = met.groupBy("token").agg(F.min(F.struct(place("info").alias("at"), "node", "info")).alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    star = met.select("token", F.col("node").alias("b"), F.col("info").alias("ib")).join(hubs.select("token", F.col("hub.node").alias("a"), F.col("hub.info").alias("ia")), "token").where("a <> b")
     # also those that can't link, if half of their union may be common: round 2a needs how they differ from the hub
     first = star.where(2 * F.least(size_of("ia"), size_of("ib")) >= F.greatest(size_of("ia"), size_of("ib"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least(wanted("ia"), wanted("ib"))).alias("want"))
     # a star counts only the shingles whose hub is a; pairs it is unsure of are left to round 2
-    first = common.stored(first.where("shared >= greatest(2, want)").select("a", "b"), "jaccard-pairs")
-    compared = common.stored(_compare(first, _sets(docs, all_docs, first, width), percent), "jaccard-compared")
-    links = compared.where("linked").select("a", "b")
-    label = components(links)
+    first = scratch.store(first.where("shared >= greatest(2, want)").select("a", "b"), "pairs")
+    compared = _compare(first, docs, ids, scratch, "compared", width, percent)
+    links = scratch.store(compared.where("linked").select("a", "b"), "links")
+    label = scratch.store(components(links), "label")
+    near_label = common.small(label, BROADCAST_NODES)
     # round 2a: nodes with one anchor, by what they do not share with it
-    anchored = common.stored(_anchored(compared), "jaccard-anchored")
-    alike = _differ_alike(anchored, label, percent)
+    anchored = scratch.store(_anchored(compared), "anchored")
+    scratch.drop("compared")
+    alike = scratch.store(_differ_alike(anchored, near_label, percent, scratch), "alike")
     # round 2b: shingles whose nodes differ in component and anchor; those of the commonest anchor never meet each other
-    placed = met.join(label, "node", "left").join(anchored.select("node", "anchor"), "node", "left")
-    placed = common.stored(placed.select("token", "node", "info", F.coalesce("label", "node").alias("label"), F.coalesce("anchor", "node").alias("anchor"), is_early("info", percent).alias("early")), "jaccard-placed")
+    placed = met.join(near_label, "node", "left").join(common.small(anchored.select("node", "anchor"), BROADCAST_NODES), "node", "left")
+    placed = placed.select("token", "node", "info", F.coalesce("label", "node").alias("label"), F.coalesce("anchor", "node").alias("anchor"), is_early("info", percent).alias("early"))
     shares = placed.groupBy("token", "anchor").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("low"), F.max("label").alias("high"))
     shares = shares.groupBy("token").agg(F.max_by("anchor", F.struct("held", "anchor")).alias("main"), F.count(F.lit(1)).alias("anchors"), F.min("low").alias("low"), F.max("high").alias("high"))
     placed = placed.join(shares.where("anchors > 1 AND low < high").select("token", "main"), "token").withColumn("other", F.col("anchor") != F.col("main"))
-    placed = common.stored(placed.drop("main"), "jaccard-split")
+    placed = scratch.store(placed.drop("main"), "split")
+    scratch.drop("met", "differences", "anchored")
     left = placed.where("early").select("token", F.when(F.col("other"), 0).otherwise(1).alias("side"), F.col("node").alias("a"), F.col("info").alias("ia"), F.col("label").alias("la"), F.col("anchor").alias("ha"))
     sides = F.when(F.col("other") & ~F.col("early"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     right = placed.select("token", F.explode(sides).alias("side"), F.col("node").alias("b"), F.col("info").alias("ib"), F.col("label").alias("lb"), F.col("anchor").alias("hb"), (F.col("early") & F.col("other")).alias("eb"))
@@ -319,13 +357,17 @@ def _classes(docs: DataFrame, width: int, percent: int, most_matches: int = 6, b
     # the passed shingles are the first that a pair shares, so the last of them bounds the difference best
     cross = cross.where((F.col("shared") >= F.col("want")) & ((100 + percent) * (F.col("at") - 2 * (F.col("shared") - 1)) <= (100 - percent) * F.col("n"))).select("a", "b")
     cross = cross.unionByName(alike).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    cross = common.stored(cross, "jaccard-cross")
-    more = common.stored(_compare(cross, _sets(docs, all_docs, cross, width), percent).where("linked").select("a", "b"), "jaccard-more")
+    cross = scratch.store(cross, "cross")
+    scratch.drop("split", "alike", "pairs")
+    more = scratch.store(_compare(cross, docs, ids, scratch, "compared-again", width, percent).where("linked").select("a", "b"), "more")
+    scratch.drop("compared-again", "cross")
     if not more.isEmpty():
-        label = components(links.unionByName(more))
-    out = all_docs.select("doc_id", "n_shingles", "node").join(label, "node", "left").withColumn("class", F.coalesce("label", "node"))
+        near_label = common.small(scratch.store(components(links.unionByName(more)), "label-again"), BROADCAST_NODES)
+    out = ids.join(near_label, "node", "left").withColumn("class", F.coalesce("label", "node"))
+    # copies meet by node before classes do, so that a hot class is a few rows by then
     names = out.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return out.join(names, "class", "left")
+    names = names.join(out.where("class IS NOT NULL").select("node", "class").distinct(), "class").select("node", "class", "least")
+    return ids.join(common.small(names, BROADCAST_NODES), "node", "left")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
