@@ -4,7 +4,8 @@ A word is a run of letters, lower-cased.  Its emission score for a language is t
 weights of its features, all hashed into one table: character n-grams of 1 to 3 with word edges
 (those at an edge are the affixes, with those of 4), and the word itself (the lexicon).  Learned
 transitions join neighbouring words.  Forward-backward over chains of `CHAIN` consecutive words
-gives each word's language probabilities; a document's are their mean.
+gives each word's language probabilities: `label_spans` returns the runs of words of one language,
+`predict` the mean over a document.
 
 Learning: from at most `per_language` documents a language (least hashes of doc_id), spliced into
 chains that change language now and then, so that transitions see switches; full-gradient AdaGrad
@@ -168,31 +169,62 @@ def sample(docs: DataFrame, per_language: int) -> list[tuple[str, str]]:
     return [x for lang in sorted(rows) for x in rows[lang]]
 
 
+def marginals(texts: list[list[str]], model: tuple[list[str], np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Language probabilities of every word of some texts, one after the other, and where each text's begin (and the end)."""
+    langs, weights, trans = model
+    known: dict[str, int] = {}
+    ids = [known.setdefault(w, len(known)) for words in texts for w in words]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+    if not ids or not langs:
+        return np.zeros((len(ids), max(1, len(langs)))), starts
+    score = emissions(list(known), weights)
+    score = np.exp(score - score.max(1, keepdims=True))
+    e, mask = chains(np.array(ids), starts, score)
+    e[~mask] = 1.0
+    return forward_backward(e, mask, np.exp(trans))[mask], starts
+
+
+SPAN = "struct<start:int,length:int,n_words:int,lang:string,score:double>"
+
+
+def label_spans(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id and spans: runs of words of one language, by code points, with their mean probability.
+
+    A text without words, or a model without languages, has no spans."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string()), ("score", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            out = []
+            for text in batch.column(1):
+                found = list(LETTERS.finditer(text.as_py() or "")) if model[0] else []
+                p, _ = marginals([[m.group().lower() for m in found]], model)
+                spans = []
+                for m, row in zip(found, p):
+                    lang = model[0][int(row.argmax())]
+                    if not spans or spans[-1]["lang"] != lang:
+                        spans.append({"start": m.start(), "length": 0, "n_words": 0, "lang": lang, "score": 0.0})
+                    own = spans[-1]
+                    own["length"], own["n_words"], own["score"] = m.end() - own["start"], own["n_words"] + 1, own["score"] + float(row.max())
+                out.append([x | {"score": min(1.0, x["score"] / x["n_words"])} for x in spans])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "spans"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, spans array<{SPAN}>")
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], slab_words: int = 200_000) -> DataFrame:
     """doc_id, lang_pred, score for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(texts: list[str | None], model) -> Iterator[tuple[str, float]]:
-        langs, weights, trans = model
-        known: dict[str, int] = {}
-        ids, starts = [], [0]
-        for text in texts:
-            if text:
-                ids += [known.setdefault(w, len(known)) for w in LETTERS.findall(text.lower())]
-            starts.append(len(ids))
-        if not ids or not langs:
-            yield from (("und", 0.0) for _ in texts)
-            return
-        starts = np.array(starts)
-        score = emissions(list(known), weights)
-        score = np.exp(score - score.max(1, keepdims=True))
-        e, mask = chains(np.array(ids), starts, score)
-        e[~mask] = 1.0
-        p = forward_backward(e, mask, np.exp(trans))
-        flat = np.concatenate([[np.zeros(p.shape[2])], np.cumsum(p[mask], axis=0)])
+        langs = model[0]
+        p, starts = marginals([LETTERS.findall(x.lower()) if x else [] for x in texts], model)
+        flat = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
         total = flat[starts[1:]] - flat[starts[:-1]]
         for row, n in zip(total, np.diff(starts)):
-            yield (langs[int(row.argmax())], float(min(1.0, row.max() / n))) if n else ("und", 0.0)
+            yield (langs[int(row.argmax())], float(min(1.0, row.max() / n))) if n and langs else ("und", 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

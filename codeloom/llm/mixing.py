@@ -5,11 +5,13 @@
 2. Blocks of `block_tokens` tokens are given to sources by highest quotients, then each source's
    blocks to its shards by highest quotients on the shards' sizes.
 3. In a shard, documents stand in seeded order and their tokens form one stream cut into blocks.
-   Every block is taken quota // blocks times; quota % blocks of them, spread evenly from a seeded
-   start, once more.  A document takes the tokens of the taken blocks that lie in it.
+   Every block is taken quota // blocks times; quota % blocks of them once more, those that a seeded
+   permutation of the shard's blocks (b -> a b + c modulo their number, a without common divisor)
+   puts first.  A document takes the tokens of the taken blocks that lie in it.
 
-Shards hold about `shard_tokens` tokens, so a hot source is many shards; only one row per source
-and one per shard reach the driver.  Defined results: null and empty texts have size 0 and take 0;
+Shards hold about `shard_tokens` tokens and at most about `shard_rows` rows, so a hot source is many
+shards; rows go to shards by doc_id and text, so null or repeated ids with different texts spread.
+Only one row per source and one per shard reach the driver.  Defined results: null and empty texts have size 0 and take 0;
 a null source is a source of its own (last); repeated rows are documents of their own, told apart
 by nothing but their place; an empty table gives an empty result.
 """
@@ -17,6 +19,8 @@ by nothing but their place; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
+import random
 from collections.abc import Sequence
 
 import numpy as np
@@ -74,54 +78,64 @@ def targets(sizes: Sequence[int], share: float = 1.5, most: float = 2.0, weights
     return out
 
 
+def permutation(n: int, seed: str) -> tuple[int, int]:
+    """a, c of the seeded permutation b -> (a b + c) mod n of n blocks, which leaves the last, short block last."""
+    rng = random.Random(seed)
+    a = rng.randrange(1, max(2, n))
+    while math.gcd(a, n) > 1:
+        a = rng.randrange(1, n)
+    return a, (n - 1) * (1 - a) % max(1, n)
+
+
 def mix_sources(
-    docs: DataFrame, share: float = 1.5, most: int = 2, weights: Sequence[int] = WEIGHTS, block_tokens: int = 32, shard_tokens: int = 4_000_000, seed: int = 7
+    docs: DataFrame, share: float = 1.5, most: int = 2, weights: Sequence[int] = WEIGHTS, block_tokens: int = 32, shard_tokens: int = 4_000_000, seed: int = 7, shard_rows: int = 200_000
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: one row per document.
 
     shard_tokens: raise it with the corpus (2**28 gives 100,000 shards at 100 TB).
     """
     spark = docs.sparkSession
-    sized = common.stored(docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size")), "mix-sizes")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("s")).collect()
+    sized = docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_mx_at"))
+    sized = common.stored(sized, "mix-sizes")
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     per_source.sort(key=lambda r: (r.source is None, r.source or ""))
     goal = targets([r.s for r in per_source], share, most, weights)
     blocks = sainte_lague(goal, int(sum(goal) // block_tokens))
-    shards = {r.source: max(1, -(-r.s // shard_tokens)) for r in per_source}
+    shards = {r.source: max(1, -(-r.s // shard_tokens), -(-r.n // shard_rows)) for r in per_source}
     source_schema = T.StructType().add("_mx_source", "string").add("_mx_shards", "long").add("source_size", "long").add("target", "double")
     by_source = spark.createDataFrame([(r.source, shards[r.source], r.s, g) for r, g in zip(per_source, goal)], source_schema)
     placed = sized.join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("_mx_source")), "left").drop("_mx_source")
-    placed = placed.withColumn("_mx_at", F.xxhash64(F.lit(seed), "doc_id"))
-    placed = placed.withColumn("_mx_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), "_mx_shards")).drop("_mx_shards")
+    placed = placed.withColumn("_mx_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_mx_at"), "_mx_shards")).drop("_mx_shards")
     per_shard: dict = {}
     for r in placed.groupBy("source", "_mx_shard").agg(F.sum("size").alias("s")).orderBy("source", "_mx_shard").toLocalIterator():
         per_shard.setdefault(r.source, []).append((r._mx_shard, r.s))
     rows = []
     for r, n in zip(per_source, blocks):
         own = sorted(per_shard.get(r.source, []))
-        quota = sainte_lague([s for _, s in own], int(n))
-        for (shard, s), q in zip(own, quota):
-            there = -(-s // block_tokens)
-            q = min(int(q), most * there)
-            rows.append((r.source, shard, q // there if there else 0, q % there if there else 0, there))
-    schema = T.StructType().add("_mx_source", "string").add("_mx_s", "long").add("_mx_base", "long").add("_mx_more", "long").add("_mx_n", "long")
+        there = [-(-s // block_tokens) for _, s in own]
+        quota = [min(int(q), most * b) for q, b in zip(sainte_lague([s for _, s in own], int(n)), there)]
+        spare = int(n) - sum(quota)  # what a full shard cannot take goes to those with room
+        for i, b in enumerate(there):
+            give = min(spare, most * b - quota[i])
+            quota[i], spare = quota[i] + give, spare - give
+        for (shard, _), q, b in zip(own, quota, there):
+            a, c = permutation(b, f"{seed} {r.source} {shard}")
+            rows.append((r.source, shard, q // b if b else 0, q % b if b else 0, b, a, c))
+    schema = T.StructType().add("_mx_source", "string")
+    for name in ("_mx_s", "_mx_base", "_mx_more", "_mx_n", "_mx_a", "_mx_c"):
+        schema = schema.add(name, "long")
     quotas = spark.createDataFrame(rows, schema)
     quotas = F.broadcast(quotas) if len(rows) <= BROADCAST_SHARDS else quotas
     order = Window.partitionBy("source", "_mx_shard").orderBy("_mx_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     out = placed.withColumn("_mx_hi", F.sum("size").over(order))
     out = out.join(quotas, F.col("source").eqNullSafe(F.col("_mx_source")) & (F.col("_mx_shard") == F.col("_mx_s")), "left")
-    out = out.withColumn("_mx_start", F.pmod(F.xxhash64(F.lit(seed + 2), "source", "_mx_shard"), F.greatest(F.col("_mx_n"), F.lit(1))))
-
-    def chosen(blocks: str) -> str:
-        """How many of the first so many blocks are taken once more."""
-        return f"(({blocks} + _mx_start) * _mx_more div _mx_n - _mx_start * _mx_more div _mx_n)"
-
-    def upto(x: str) -> str:
-        """Tokens of the once-more blocks among the first x of the stream."""
-        b = f"({x} div {block_tokens})"
-        return f"({chosen(b)} * {block_tokens} + ({x} % {block_tokens}) * ({chosen(f'({b} + 1)')} - {chosen(b)}))"
-
-    extra = F.when(F.col("_mx_more") > 0, F.expr(f"{upto('_mx_hi')} - {upto('(_mx_hi - size)')}")).otherwise(F.lit(0))
+    # the words of the document in each block that is taken once more
+    lo, hi = "(_mx_hi - size)", "_mx_hi"
+    inside = f"cast(least({hi}, (b + 1) * {block_tokens}) - greatest({lo}, b * {block_tokens}) as bigint)"
+    extra = F.expr(
+        f"CASE WHEN size > 0 AND _mx_more > 0 THEN aggregate(filter(sequence({lo} div {block_tokens}, ({hi} - 1) div {block_tokens}), b -> (_mx_a * b + _mx_c) % _mx_n < _mx_more), "
+        f"cast(0 as bigint), (t, b) -> t + {inside}) ELSE cast(0 as bigint) END"
+    )
     taken = F.when(F.col("size") > 0, F.col("size") * F.col("_mx_base") + extra).otherwise(F.lit(0)).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 

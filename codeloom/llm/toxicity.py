@@ -5,8 +5,8 @@ labelled sample is kept.  A term's IDF is scaled by how surely the toxic class p
 `floor` for terms that tell nothing, up to 1 + `floor` with a growing log-likelihood ratio g
 (g / (g + `half_g`)).  The scale never drops a term, so a copy of an example has cosine 1 with it.
 The examples stand in an inverted index; terms that a tenth of the examples hold are summed as one
-dense product for a batch of texts, the rest by their posting lists.  Every example is compared,
-so the neighbours are exact.  Their distance-weighted votes, shrunk to the base rate, are mapped
+dense product for a batch of texts, the rest by their posting lists.  Every example is compared
+(no block is skipped), so the neighbours are exact and are returned as evidence.  Their distance-weighted votes, shrunk to the base rate, are mapped
 to a probability by bins fitted on leave-one-out votes of the examples.
 
 The sample holds at most `max_examples` labelled rows (least hashes of doc_id; toxic rows may fill
@@ -57,6 +57,7 @@ class Model:
     cuts: np.ndarray
     values: np.ndarray
     k: int
+    ids: np.ndarray  # doc_id of each example
 
     def __getstate__(self) -> dict:
         return {x: v for x, v in self.__dict__.items() if x not in ("place", "dense")}
@@ -132,14 +133,15 @@ def _counts(text: str, terms: dict[str, int]) -> Counter:
     return Counter(terms[t] for w in LETTERS.findall(text.lower()) for t in terms_of(w) if t in terms)
 
 
-def without_copies(rows: list[tuple[str, int]], seeds: int = 4, width: int = 5, alike: float = 0.8) -> list[tuple[str, int]]:
+def without_copies(rows: list[tuple], seeds: int = 4, width: int = 5, alike: float = 0.8) -> list[tuple]:
     """The first of each group of near copies: same label, Jaccard of `alike` over word windows.
 
     Rows that share a least hash of windows are compared.  Copies would lend their chance words the
     support of many examples."""
     seen: dict[tuple[int, int, int], list[int]] = {}
     out, sets = [], []
-    for text, label in rows:
+    for row in rows:
+        text, label = row[:2]
         words = common.word_hashes((text or "").encode().lower().split())
         w = np.unique(common.window_hashes(words, min(width, len(words)) or 1))
         keys = [(s, label, int(common.mix(w ^ np.uint64(s * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).min())) for s in range(1, seeds + 1)] if len(w) else [(0, label, 0)]
@@ -153,18 +155,19 @@ def without_copies(rows: list[tuple[str, int]], seeds: int = 4, width: int = 5,
         if not any(copies(sets[i]) for i in sorted({i for k in keys for i in seen.get(k, ())})):
             for k in keys:
                 seen.setdefault(k, []).append(len(out))
-            out.append((text, label))
+            out.append(row)
             sets.append(w)
     return out
 
 
-def learn(rows: list[tuple[str, int]], k: int = 15, floor: float = 0.02, half_g: float = 30.0, bins: int = 20) -> Model:
-    """rows: (text, 0 or 1), in a fixed order."""
+def learn(rows: list[tuple], k: int = 15, floor: float = 0.02, half_g: float = 30.0, bins: int = 20) -> Model:
+    """rows: (text, 0 or 1), in a fixed order; a doc_id may follow, else the place among the rows stands for it."""
+    rows = [(*r[:2], r[2] if len(r) > 2 else i) for i, r in enumerate(rows)]
     rows = without_copies(rows)
-    y = np.array([x for _, x in rows], float)
+    y = np.array([r[1] for r in rows], float)
     first: dict[str, int] = {}
     own = []
-    for text, _ in rows:
+    for text, *_ in rows:
         ids = [first.setdefault(t, len(first)) for w in LETTERS.findall((text or "").lower()) for t in terms_of(w)]
         own.append(np.unique(np.array(ids, np.int64), return_counts=True))
     names = sorted(first)
@@ -189,7 +192,7 @@ def learn(rows: list[tuple[str, int]], k: int = 15, floor: float = 0.02, half_g:
             for d in "45" if not w[0].isdigit() else "":
                 if len(w) > int(d) and toxic[i] >= 0.8 * toxic[terms[d + w[: int(d)]]]:
                     lean[terms[d + w[: int(d)]]] = 0
-    m = Model(terms, np.log1p(len(rows) / df) * (floor + lean), y, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), float(y.mean()) if len(y) else 0.0, 0.0, np.array([0.0, 1.0]), np.array([0.0, 1.0]), k)
+    m = Model(terms, np.log1p(len(rows) / df) * (floor + lean), y, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), float(y.mean()) if len(y) else 0.0, 0.0, np.array([0.0, 1.0]), np.array([0.0, 1.0]), k, np.array([r[2] for r in rows], np.int64))
     vectors = [(ids, m.weighted(ids, counts)) for ids, counts in own]
     empty = np.array([not len(ids) for ids, _ in vectors], bool)
     if vectors:
@@ -217,7 +220,7 @@ def learn(rows: list[tuple[str, int]], k: int = 15, floor: float = 0.02, half_g:
     return m
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> list[tuple[str, int]]:
+def sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> list[tuple[str, int, int]]:
     """Labelled texts: toxic ones up to half of the bound, the rest clean, by least hash."""
     taught = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_tx_doc")).agg(F.max("toxic").cast("int").alias("toxic"))
     place = F.xxhash64(F.lit(3), "_tx_doc")
@@ -227,48 +230,65 @@ def sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> list[tuple[
         picked = own if picked is None else picked.unionByName(own)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_tx_doc"))
     got = {(r._tx_doc, r.toxic): r.text or "" for r in rows.select("_tx_doc", "toxic", "text").toLocalIterator()}
-    return [(text, int(label)) for (_, label), text in sorted(got.items(), key=lambda x: x[0])]
+    return [(text, int(label), doc) for (doc, label), text in sorted(got.items(), key=lambda x: x[0])]
+
+
+class Scorer:
+    """score, neighbours and cosines of texts; equal texts are scored once, up to a bound."""
+
+    def __init__(self, model: Model):
+        self.m, self.done, self.kinds = model, {}, {}
+
+    def _read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        own: list[int] = []
+        kinds, terms = self.kinds, self.m.terms
+        for w in LETTERS.findall(text.lower()):
+            hit = kinds.get(w)
+            if hit is None:
+                if len(kinds) > 400_000:
+                    kinds.clear()
+                hit = kinds[w] = tuple(terms[t] for t in terms_of(w) if t in terms)
+            own += hit
+        ids, counts = np.unique(np.array(own, np.int64), return_counts=True)
+        return ids, self.m.weighted(ids, counts)
+
+    def __call__(self, column: pa.Array) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        out, m, done = [], self.m, self.done
+        for at in range(0, len(column), TOGETHER):
+            texts = [x or "" for x in column.slice(at, TOGETHER).to_pylist()]
+            keys = [xxhash.xxh3_128_digest(x.encode()) for x in texts]
+            if len(done) > 50_000:
+                done.clear()
+            new = {key: self._read(x) for key, x in dict(zip(keys, texts)).items() if key not in done}
+            done |= {key: (m.base_empty, np.empty(0, np.int64), np.empty(0)) for key, (ids, _) in new.items() if not len(ids)}
+            new = {key: x for key, x in new.items() if len(x[0])}
+            for key, (who, cosine) in zip(new, m.nearest(list(new.values()))):
+                done[key] = (m.calibrated(m.vote(who, cosine)), who, np.minimum(cosine, 1.0))
+            out += [done[key] for key in keys]
+        return out
+
+
+EVIDENCE = "array<struct<doc_id:long,cosine:double,toxic:int>>"
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, and the evidence: number of neighbours and the best cosine."""
+    """doc_id, score, and the evidence: the nearest examples with cosines and labels, their number, the best cosine."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        done: dict[bytes, tuple[float, int, float]] = {}
-        kinds: dict[str, tuple[int, ...]] = {}
-
-        def read(text: str) -> tuple[np.ndarray, np.ndarray]:
-            own: list[int] = []
-            for w in LETTERS.findall(text.lower()):
-                hit = kinds.get(w)
-                if hit is None:
-                    if len(kinds) > 400_000:
-                        kinds.clear()
-                    hit = kinds[w] = tuple(m.terms[t] for t in terms_of(w) if t in m.terms)
-                own += hit
-            ids, counts = np.unique(np.array(own, np.int64), return_counts=True)
-            return ids, m.weighted(ids, counts)
-
+        scorer = Scorer(m)
         for batch in batches:
-            out = []
-            for at in range(0, batch.num_rows, TOGETHER):
-                texts = [x or "" for x in batch.column(1).slice(at, TOGETHER).to_pylist()]
-                keys = [xxhash.xxh3_128_digest(x.encode()) for x in texts]
-                if len(done) > 50_000:
-                    done.clear()
-                new = {key: read(x) for key, x in dict(zip(keys, texts)).items() if key not in done}
-                done |= {key: (m.base_empty, 0, 0.0) for key, (ids, _) in new.items() if not len(ids)}
-                new = {key: x for key, x in new.items() if len(x[0])}
-                for key, (who, cosine) in zip(new, m.nearest(list(new.values()))):
-                    done[key] = (m.calibrated(m.vote(who, cosine)), len(who), float(min(1.0, cosine[0])))
-                out += [done[key] for key in keys]
-            cols = list(zip(*out)) or [(), (), ()]
-            arrays = [batch.column(0), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "n_neighbours", "best_cosine"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, n_neighbours int, best_cosine double")
+            out = scorer(batch.column(1))
+            size = np.array([len(who) for _, who, _ in out], np.int32)
+            who, cosine = (np.concatenate([x[i] for x in out]) if out else np.empty(0) for i in (1, 2))
+            who = who.astype(np.int64)
+            near = pa.StructArray.from_arrays([pa.array(m.ids[who]), pa.array(cosine.astype(float)), pa.array(m.labels[who].astype(np.int32))], names=["doc_id", "cosine", "toxic"])
+            evidence = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), near)
+            best = pa.array([float(c[0]) if len(c) else 0.0 for *_, c in out], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array(size), best, evidence], names=["doc_id", "score", "n_neighbours", "best_cosine", "evidence"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, score double, n_neighbours int, best_cosine double, evidence {EVIDENCE}")
 
 
 def learned(docs: DataFrame, labels: DataFrame, max_examples: int = 6000) -> Model:
@@ -277,9 +297,15 @@ def learned(docs: DataFrame, labels: DataFrame, max_examples: int = 6000) -> Mod
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below 0.5, columns untouched."""
-    bad = score(docs, learned(docs, labels)).where("score >= 0.5").select(F.col("doc_id").alias("_tx_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_tx_bad")), "left_anti")
+    """The rows whose own text scores below 0.5, columns untouched, whatever their doc_id."""
+    shared = docs.sparkSession.sparkContext.broadcast(learned(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([x[0] < 0.5 for x in scorer(batch.column("text"))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

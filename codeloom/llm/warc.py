@@ -1,17 +1,21 @@
 """WARC archives of pages, and an external merge of their capture index.
 
-Writing: one record per row, as text with CRLF CRLF after each record, gzip-compressed by Spark's
-own text writer, so that it goes to any store Spark can write.  Files are rolled by records.
+Writing: one record per row, each a gzip member of its own, so that it can be read by its offset.
+Spark's text writer puts the members into files, so that they go to any store Spark can write; its
+line separator is an empty gzip member.  Files hold about `file_bytes` of payload.
 Of records with equal payloads of `min_bytes` or more, the one with the smallest id is a
 response and the others are revisits of it.
 
-Reading: each archive is parsed by Content-Length into captures.  Its captures form one run sorted
-by URL key and time.  Runs are cut at common range bounds and the cuts of one range are merged by
-a k-way loser tree, so the ranges in order give the capture history of every URL in order.
+Reading: each archive is parsed member by member into captures.  Its captures form one run sorted
+by URL key and time.  Runs are cut at common range bounds, as many ranges as archives or more, and the
+cuts of one range are merged by a k-way loser tree, so the ranges in order give the capture history
+of every URL in order; a range holds about as many captures as an archive, also of one URL.
 
 Defined results: null html is an empty payload, null url is written as an empty URI and read back
-as '', page_id must not be null (rows without one are written with id -1); repeated rows give
-repeated records of the same type; an empty table gives no archive and an empty index.
+as ''; a null page_id is kept, is never the response that others refer to unless all ids of its
+payload are null (then all are responses), and has the capture time of id 0; repeated rows give
+repeated records of the same type and record id; an empty table gives no archive and an empty index;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from . import common
 
 CRLF2 = "\r\n\r\n"
+EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 CAPTURE = "run string, page_id long, url string, url_key string, ts string, record_type string, refers_to long, payload_bytes long, payload_digest string, intact boolean, offset long"
 
 
@@ -44,12 +49,12 @@ def _uri(url: Column) -> Column:
 def with_record_types(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     """page_id, url, payload, digest, n_bytes, record_type and refers_to of every page."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    p = pages.select(F.coalesce("page_id", F.lit(-1)).cast("long").alias("page_id"), "url", payload.alias("payload"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     p = p.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("n_bytes", F.octet_length("payload").cast("long"))
     large = p.where(F.col("n_bytes") >= min_bytes)
     shared = large.groupBy(F.col("digest").alias("_w_digest")).agg(F.min("page_id").alias("_w_first"), F.count(F.lit(1)).alias("_w_n")).where("_w_n > 1")
     out = p.join(shared, F.col("digest") == F.col("_w_digest"), "left")
-    revisit = F.col("_w_first").isNotNull() & (F.col("_w_first") != F.col("page_id"))
+    revisit = F.col("_w_first").isNotNull() & ~F.col("_w_first").eqNullSafe(F.col("page_id"))
     return out.select(
         "page_id", "url", "payload", "digest", "n_bytes",
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
@@ -58,13 +63,28 @@ def with_record_types(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
 
 
 def _record_id(page_id: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page:"), page_id.cast("string")).cast("binary"))
+    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit(""))).cast("binary"))
     return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
-def write_archives(records: DataFrame, path: str, records_per_file: int = 20_000, captured: str = "2024-01-01T00:00:00Z") -> None:
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for x in batch.column(0):
+            z = zlib.compressobj(6, zlib.DEFLATED, 31)
+            out.append(z.compress(x.as_buffer()) + z.flush())
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+
+
+def records_per_file(pages: DataFrame, file_bytes: int = 64 << 20, most: int = 20_000) -> int:
+    """So many records hold about `file_bytes` of payload and heads."""
+    n, size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length("html"))).first()
+    return max(1, min(most, file_bytes // (500 + (size or 0) // max(1, n))))
+
+
+def write_archives(records: DataFrame, path: str, per_file: int = 20_000, captured: str = "2024-01-01T00:00:00Z") -> None:
     """records: what `with_record_types` returns.  The capture time is `captured` plus page_id seconds."""
-    at = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(captured), "yyyy-MM-dd'T'HH:mm:ssX") + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    at = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(captured), "yyyy-MM-dd'T'HH:mm:ssX") + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     revisit = F.col("record_type") == "revisit"
     head = F.concat_ws(
         "\r\n",
@@ -84,52 +104,36 @@ def write_archives(records: DataFrame, path: str, records_per_file: int = 20_000
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("n_bytes")).cast("string")),
     )
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-    lines = records.select(F.concat(head, F.lit(CRLF2), body).alias("value"))
-    lines.write.option("lineSep", CRLF2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
-
-
-def parse_archive(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, int]]:
-    """(headers, block, offset in the uncompressed archive) of each record, one record in memory."""
-    buf, at, done = bytearray(), 0, False
-
-    def fill(n: int) -> bool:
-        nonlocal done
-        while len(buf) < n and not done:
-            x = next(chunks, None)
-            if x is None:
-                done = True
-            else:
-                buf.extend(x)
-        return len(buf) >= n
-
-    while fill(1):
-        end = buf.find(b"\r\n\r\n")
-        while end < 0:
-            seen = len(buf)
-            if not fill(seen + 1):
-                raise ValueError(f"record head at {at} has no end")
-            end = buf.find(b"\r\n\r\n", max(0, seen - 3))
-        lines = bytes(buf[:end]).decode("utf-8").split("\r\n")
-        headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-        size = end + 4 + int(headers["Content-Length"])
-        if not fill(size):
-            raise ValueError(f"record at {at} is cut short")
-        yield headers, bytes(buf[end + 4 : size]), at
-        fill(size + 4)
-        del buf[: size + 4]
-        at += size + 4
-
-
-def _inflate(content: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
-    z = zlib.decompressobj(31)
-    for i in range(0, len(content), piece):
-        data = z.decompress(content[i : i + piece])
-        while z.eof and z.unused_data:  # the next member
-            rest, z = z.unused_data, zlib.decompressobj(31)
-            yield data
-            data = z.decompress(rest)
-        if data:
-            yield data
+    members = records.select(F.concat(head, F.lit(CRLF2), body, F.lit(CRLF2)).cast("binary").alias("record")).mapInArrow(_members, "member binary")
+    writer = members.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
+    writer.option("maxRecordsPerFile", per_file).text(path)
+
+
+def members(content: bytes, piece: int = 1 << 16) -> Iterator[tuple[int, bytes]]:
+    """(offset, data) of each gzip member, one in memory; those without data are left out."""
+    at = 0
+    while at < len(content):
+        start, z, data = at, zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(content):
+                raise ValueError(f"member at {start} is cut short")
+            data.append(z.decompress(content[at : at + piece]))
+            at += len(content[at : at + piece])
+        at -= len(z.unused_data)
+        if out := b"".join(data):
+            yield start, out
+
+
+def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of a record."""
+    end = data.find(b"\r\n\r\n")
+    if end < 0:
+        raise ValueError("a record head has no end")
+    headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in data[:end].decode("utf-8").split("\r\n")[1:])
+    size = int(headers["Content-Length"])
+    if len(data) != end + 8 + size:
+        raise ValueError("a record is not as long as it says")
+    return headers, data[end + 4 : end + 4 + size]
 
 
 def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +142,8 @@ def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
             rows = []
-            for h, block, offset in parse_archive(_inflate(content.as_buffer())):
+            for offset, data in members(content.as_buffer()):
+                h, block = parse_record(bytes(data))
                 kind, digest = h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha256:")
                 n = int(h["WARC-Payload-Length"])
                 if kind == "response":
@@ -146,15 +151,16 @@ def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     found = digest
                 refers = h.get("WARC-Refers-To-Page-ID")
-                rows.append((path, int(h["WARC-Page-ID"]), h["WARC-Target-URI"], h["WARC-URL-Key"], h["WARC-Date"], kind, int(refers) if refers else None, n, found, found == digest, offset))
-            rows.sort(key=lambda r: (r[3], r[4], r[1]))
+                page = h.get("WARC-Page-ID")
+                rows.append((path, int(page) if page else None, h["WARC-Target-URI"], h["WARC-URL-Key"], h["WARC-Date"], kind, int(refers) if refers else None, n, found, found == digest, offset))
+            rows.sort(key=lambda r: (r[3], r[4], r[1] is not None, r[1] or 0))
             for i in range(0, len(rows), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 5000]), schema)], schema=schema)
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """The captures of every archive below `path`; each archive's are one sorted run."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(_captures, CAPTURE)
 
 
@@ -205,6 +211,7 @@ def merge_runs(captures: DataFrame, ranges: int | None = None) -> DataFrame:
             return
         t = pa.Table.from_batches(held).combine_chunks()
         key_cols = [t.column(c).to_pylist() for c in keys]
+        key_cols[2] = [(x is not None, x or 0) for x in key_cols[2]]
         runs: dict[str, list[int]] = {}
         for i, r in enumerate(t.column("run").to_pylist()):
             runs.setdefault(r, []).append(i)
@@ -217,8 +224,10 @@ def merge_runs(captures: DataFrame, ranges: int | None = None) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = common.shared_path(spark, "warc")
-    write_archives(with_record_types(pages), path)
-    return merge_runs(read_captures(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    write_archives(with_record_types(pages), path, records_per_file(pages))
+    captures = read_captures(spark, path)
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").count()
+    return merge_runs(captures, max(spark.sparkContext.defaultParallelism, archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP10_SQL = """

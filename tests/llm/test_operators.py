@@ -268,3 +268,166 @@ def test_warc_round_trip(spark):
     assert [(r.url_key, r.ts, r.page_id) for r in got] == sorted((r.url_key, r.ts, r.page_id) for r in got)
     assert all(r.intact for r in got)
     assert list(warc.LoserTree([[1, 4, 9], [], [2, 3], [0, 10]], lambda x: x)) == [0, 1, 2, 3, 4, 9, 10]
+
+
+def test_words_of_code_switched_text(spark):
+    rng = random.Random(4)
+    words = {"aa": ["".join(rng.choice("abcde") for _ in range(5)) for _ in range(80)], "bb": ["".join(rng.choice("vwxyz") for _ in range(5)) for _ in range(80)]}
+    some = lambda lang, n: [rng.choice(words[lang]) for _ in range(n)]
+    model = language_id.learn([(" ".join(some(lang, 60)), lang) for _ in range(30) for lang in words])
+    first, second = " ".join(some("aa", 20)), " ".join(some("bb", 15))
+    test = spark.createDataFrame([(1, f"{first}, {second}!"), (2, None), (3, "12"), (None, second)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.length, s.n_words, s.lang) for s in r.spans] for r in language_id.label_spans(test, model).collect()}
+    assert got == {1: [(0, len(first), 20, "aa"), (len(first) + 2, len(second), 15, "bb")], 2: [], 3: [], None: [(0, len(second), 15, "bb")]}
+    assert language_id.label_spans(test, language_id.learn([])).where("size(spans) > 0").count() == 0
+
+
+def test_toxicity_query_by_brute_force_and_evidence(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 25) + (" vile" if i % 3 == 0 else ""), i % 3 == 0) for i in range(150)]
+    m = toxicity.learn([(t, int(y), 1000 + i) for i, t, y in rows])
+    asked = [(i, t) for i, t, _ in rows[:20]] + [(500, "so vile " + prose(rng, 5)), (None, None), (None, rows[0][1]), (7, "")]
+    got = toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), m).collect()
+    where = {int(x): j for j, x in enumerate(m.ids)}
+    dense = np.zeros((len(m.labels), len(m.terms)))
+    for t, (who, weight, _) in enumerate(m.postings):
+        dense[who, t] = weight
+    for (_, text), r in zip(asked, got):
+        counts = toxicity._counts(text or "", m.terms)
+        if not counts:
+            assert (r.score, r.n_neighbours, r.evidence) == (m.base_empty, 0, [])
+            continue
+        q = np.zeros(len(m.terms))
+        ids, w = m.vector(counts)
+        q[list(ids)] = w
+        cosine = np.round(dense @ q, 12)
+        best = sorted((j for j in range(len(cosine)) if cosine[j] > 1e-12), key=lambda j: (-cosine[j], j))[: m.k]
+        weight = 1 / (1.05 - np.minimum(cosine[best], 1.0))
+        vote = ((weight * m.labels[best]).sum() + m.base) / (weight.sum() + 1)
+        assert [where[e.doc_id] for e in r.evidence] == best and r.score == pytest.approx(float(np.interp(vote, m.cuts, m.values)))
+        assert [e.toxic for e in r.evidence] == m.labels[best].astype(int).tolist()
+
+
+def test_rows_are_dropped_by_their_own_text(spark):
+    rng = random.Random(21)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = [(i, prose(rng, 20) + (" vile" if i % 2 else ""), "x") for i in range(60)]
+    rows += [(None, "vile vile vile", "x"), (None, "w1 w2 w3 w4", "y"), (99, "vile vile", "x"), (99, "w5 w6 w7", "y"), (None, None, "y"), (98, "", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string")  # a clashing column
+    got = toxicity.drop_toxic(df, labels)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or -1, r.text) for r in got.where("score = 'y'").collect() if r.text is not None) == [(-1, "w1 w2 w3 w4"), (98, ""), (99, "w5 w6 w7")]
+    assert not [r for r in got.collect() if "vile" in (r.text or "")]
+    assert toxicity.drop_toxic(df.limit(0), labels).count() == 0
+    item = "what is the capital city of the far away island kingdom that we learned about"
+    bench = spark.createDataFrame([(1, item), (1, item + " in school"), (None, "x")], "item_id long, text string")
+    leaks = spark.createDataFrame([(None, item), (None, "clean words"), (5, "so " + item), (5, "more clean words"), (6, None)], "doc_id long, text string")
+    assert sorted((r.text or "") for r in decontaminate.drop_leaks(leaks, bench).collect()) == ["", "clean words", "more clean words"]
+    assert decontaminate.find_leaks(leaks, bench).count() == 4
+    assert decontaminate.find_leaks(leaks.limit(0), bench).count() == 0 and decontaminate.find_leaks(leaks, bench.limit(0)).count() == 0
+
+
+def test_decontamination_against_alignment_of_all_pairs(spark):
+    rng = random.Random(17)
+    items = [prose(rng, rng.randint(3, 30)) for _ in range(15)] + ["If Anna buys 3 pens at 4 dollars each and 2 books at 9 dollars how much does Anna pay in all"]
+    docs = [prose(rng, 50) for _ in range(20)]
+    for i, item in enumerate(items):  # whole, in part, and with other values
+        words = item.split()
+        docs += [f"{prose(rng, 10)} {item} {prose(rng, 10)}", " ".join(words[: len(words) // 2]) + " " + prose(rng, 20)]
+    docs.append("Now: " + items[-1].replace("Anna", "Peter").replace("3", "8").replace("9", "12"))
+    docs.append("Now: " + items[-1].replace("Anna", "Peter", 1))  # one name for two is not consistent everywhere
+    t = decontaminate.Templates()
+    want = set()
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            a, b = t.of(item.encode()), t.of(doc.encode())
+            if len(a[0]) < 5:
+                continue
+            size = min(8, len(a[0]))
+            if any(decontaminate.align(a, b, s, size, 6, 0.5) for s in range(-len(a[0]), len(b[0]))):
+                want.add((d, i))
+    got = decontaminate.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and (len(docs) - 2, 15) in want
+
+
+def test_mixing_takes_whole_selected_blocks(spark, docs):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randint(0, 120)), f"s{i % 3}") for i in range(120)] + [(None, prose(rng, 500), "s0"), (None, prose(rng, 30), None), (5, None, "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, block_tokens=8, shard_tokens=900)
+    keyed = df.select("doc_id", "source", common.word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(7), "doc_id", "text").alias("at"))
+    shards = {r.source: max(1, -(-r.s // 900)) for r in keyed.groupBy("source").agg(F.sum("size").alias("s")).collect()}
+    n = F.element_at(F.create_map(*[x for k, v in shards.items() for x in (F.lit(k or "-"), F.lit(v))]), F.coalesce("source", F.lit("-")))
+    held = keyed.withColumn("shard", F.pmod(F.xxhash64(F.lit(8), "at"), n)).collect()
+    goal = {r.source: r.target for r in got.collect()}
+    order = sorted(goal, key=lambda s: (s is None, s or ""))
+    blocks = dict(zip(order, mixing.sainte_lague([goal[s] for s in order], int(sum(goal.values()) // 8)).tolist()))
+    want = {}
+    for s in order:
+        own = {k: sorted((r for r in held if r.source == s and r.shard == k), key=lambda r: r["at"]) for k in range(shards[s])}
+        own = {k: v for k, v in own.items() if v}
+        sizes = [sum(r["size"] for r in v) for v in own.values()]
+        quota = [min(int(q), 2 * -(-x // 8)) for q, x in zip(mixing.sainte_lague(sizes, blocks[s]), sizes)]
+        spare = blocks[s] - sum(quota)
+        for i, x in enumerate(sizes):
+            give = min(spare, 2 * -(-x // 8) - quota[i])
+            quota[i], spare = quota[i] + give, spare - give
+        for (k, v), q, x in zip(own.items(), quota, sizes):
+            there = -(-x // 8)
+            if not there:
+                continue
+            a, c = mixing.permutation(there, f"7 {s} {k}")
+            times = [q // there + ((a * b + c) % there < q % there) for b in range(there)]
+            assert sum(times) == q  # a permutation: the quota to the block
+            token = 0
+            for r in v:
+                want[r["at"]] = sum(times[i // 8] for i in range(token, token + r["size"]))
+                token += r["size"]
+    sums = Counter()
+    for r in held:
+        sums[r.doc_id, r.source, r["size"]] += want.get(r["at"], 0)
+    have = Counter()
+    for r in got.collect():
+        have[r.doc_id, r.source, r["size"]] += r.taken
+    assert have == sums
+
+
+def test_line_runs_are_merged_in_order_and_without_shuffle(spark):
+    rng = random.Random(31)
+    store, seen = line_dedup.LineRuns(spark, min_docs=4, buckets=3), Counter()
+    for _ in range(5):
+        keys = [(rng.randrange(40), 7) for _ in range(60)]
+        seen.update(keys)
+        store.add(spark.createDataFrame(keys, "_ln_h1 long, _ln_h2 long"))
+    a, b = store.levels[2][0], store.levels[0][0]
+    with line_dedup._ordered_scans(spark):
+        plan = store.merged(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort " not in plan
+    assert {tuple(r) for r in store.frequent().collect()} == {k for k, n in seen.items() if n >= 4}
+
+
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    rows = [(None, "Twice\nown")] * 2 + [(1, "twice\nlast"), (2, None), (2, "twice")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    got = line_dedup.dedup_lines(df, min_docs=5)
+    assert sorted((r.doc_id or -1, r.text) for r in got.collect() if r.text is not None) == sorted((d or -1, t) for d, t in rows if t is not None)
+
+
+def test_warc_null_ids_offsets_and_empty_table(spark):
+    big = "é" * 200
+    pages = spark.createDataFrame([(None, "http://a.org", big), (4, "http://a.org", big), (None, None, "z" * 150), (None, None, "z" * 150), (-1, "http://b.org", None)], "page_id long, url string, html string")
+    path = common.shared_path(spark, "warc-nulls")
+    warc.write_archives(warc.with_record_types(pages), path, per_file=2)
+    captures = warc.read_captures(spark, path)
+    got = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.merge_runs(captures, 3).collect()]
+    want = [(None, "revisit", 4, 400), (4, "response", None, 400), (None, "response", None, 150), (None, "response", None, 150), (-1, "response", None, 0)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    files = {r.path: bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").collect()}
+    for r in captures.collect():  # each record is read by its offset alone
+        headers, block = warc.parse_record(next(warc.members(files[r.run][r.offset :]))[1])
+        assert headers["WARC-Payload-Digest"] == f"sha256:{r.payload_digest}" and len(block) == (r.payload_bytes if r.record_type == "response" else 0)
+    none = common.shared_path(spark, "warc-none")
+    warc.write_archives(warc.with_record_types(pages.limit(0)), none)
+    assert warc.merge_runs(warc.read_captures(spark, none)).count() == 0
+    assert warc.records_per_file(pages.limit(0)) == 20_000
