@@ -7,7 +7,9 @@ one round.  Frontier and visited sets stay distributed at every size.
 
 from __future__ import annotations
 
+import re
 import tempfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,23 +19,39 @@ from pyspark.sql import functions as F
 def _checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codeloom-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="codeloom-"))
     return df.checkpoint()
 
 
+MERGE_EVERY = 8
+
+
+def _union(layers: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, layers)
+
+
+def _appended(layers: list[DataFrame], layer: DataFrame) -> list[DataFrame]:
+    """The visited layers with one more; every few rounds they are written as one, so that a row is rewritten once in so many rounds."""
+    layers = [*layers, layer]
+    return [_checkpointed(_union(layers))] if len(layers) > MERGE_EVERY else layers
+
+
 def distances(edges: DataFrame, seeds: DataFrame, most_depth: int | None = None) -> DataFrame:
     """(node, depth) of all nodes reachable from the seeds (column node), seeds at depth 0."""
     edges = _checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
-    seen = frontier = _checkpointed(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
-    depth = 0
+    frontier = _checkpointed(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
+    seen, depth = [frontier], 0
     while most_depth is None or depth < most_depth:
         depth += 1
         step = edges.join(frontier, edges["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = _checkpointed(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = _checkpointed(step.join(_union(seen).select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = _checkpointed(seen.unionByName(frontier))
-    return seen
+        seen = _appended(seen, frontier)
+    return _union(seen)
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -80,14 +98,15 @@ def entry_paths(edges: DataFrame, entries: DataFrame, most_depth: int = 15) -> D
 
     Paths have at most most_depth + 1 nodes; of equally short ones the least is taken."""
     edges = _checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
-    seen = frontier = _checkpointed(entries.select("node").where("node IS NOT NULL").distinct().withColumn("path", F.array("node")))
+    frontier = _checkpointed(entries.select("node").where("node IS NOT NULL").distinct().withColumn("path", F.array("node")))
+    seen = [frontier]
     for _ in range(most_depth):
         step = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        frontier = _checkpointed(step.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti"))
+        frontier = _checkpointed(step.groupBy("node").agg(F.min("path").alias("path")).join(_union(seen).select("node"), "node", "left_anti"))
         if frontier.isEmpty():
             break
-        seen = _checkpointed(seen.unionByName(frontier))
-    return seen
+        seen = _appended(seen, frontier)
+    return _union(seen)
 
 
 def _doublings(n: int) -> int:

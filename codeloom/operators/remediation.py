@@ -21,9 +21,16 @@ def resolved_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("rel", F.when(F.col("exact"), F.col("rel")).when(F.col("n") == 1, F.col("only")).alias("path"), how.alias("how"))
 
 
+LINE_BLOCK = 64
+
+
 def innermost(hits: DataFrame, symbols: DataFrame) -> DataFrame:
-    """hit_id, symbol: the shortest symbol (file, symbol, start, end) whose lines hold the hit (hit_id, file, line); ties by name."""
-    met = hits.join(symbols, "file").where("line BETWEEN start AND end")
+    """hit_id, symbol: the shortest symbol (file, symbol, start, end) whose lines hold the hit (hit_id, file, line); ties by name.
+
+    They meet by file and block of lines, so a long file is many keys."""
+    block = lambda c: F.floor(F.col(c) / LINE_BLOCK)
+    spread = symbols.where("start <= end").withColumn("block", F.explode(F.sequence(block("start"), block("end"))))
+    met = hits.withColumn("block", block("line")).join(spread, ["file", "block"]).where("line BETWEEN start AND end")
     best = met.groupBy("hit_id").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("span"), "symbol")).alias("m"))
     return hits.select("hit_id").join(best, "hit_id", "left").select("hit_id", F.col("m.symbol").alias("symbol"))
 

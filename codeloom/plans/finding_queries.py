@@ -112,10 +112,10 @@ def inconsistent_patterns(spark, sf_dir):
     return r.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("b").alias("n_verdicts")).where("n >= 2 AND n_verdicts > 1")
 
 
-@register("unit_files", """SELECT o_orderkey, 'src/a:b' || (o_orderkey % 3) AS last_colon, 'src/a' AS first_colon FROM orders WHERE o_orderkey % 2 = 0""")
+@register("unit_files", """SELECT o_orderkey, 'src/a' || o_custkey || ':b' || (o_orderkey % 3) AS last_colon, 'src/a' || o_custkey AS first_colon FROM orders""")
 def unit_files(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
-    unit = F.concat(F.lit("src/a:b"), (F.col("o_orderkey") % 3).cast("string"), F.lit(":f"))
+    o = read(spark, sf_dir, "orders")
+    unit = F.expr("concat('src/a', o_custkey, ':b', o_orderkey % 3, ':f')")
     return o.select("o_orderkey", fx.file_last_colon(unit).alias("last_colon"), fx.file_first_colon(unit).alias("first_colon"))
 
 

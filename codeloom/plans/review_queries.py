@@ -24,11 +24,11 @@ def resolved_paths(spark, sf_dir):
 
 
 @register("innermost_symbols", """WITH h AS (SELECT o_orderkey AS hit_id, 'f' || (o_orderkey % 40) AS file, o_orderkey % 97 AS line FROM orders),
- s AS (SELECT 'f' || (p_partkey % 40) AS file, p_name || p_partkey AS symbol, p_partkey % 60 AS a, p_partkey % 60 + p_size AS b FROM part WHERE p_partkey % 5 = 0)
+ s AS (SELECT 'f' || (p_partkey % 40) AS file, p_name || p_partkey AS symbol, p_partkey % 60 AS a, p_partkey % 60 + p_size AS b FROM part)
 SELECT h.hit_id, (SELECT symbol FROM s WHERE s.file = h.file AND h.line BETWEEN a AND b ORDER BY b - a, symbol LIMIT 1) AS symbol FROM h""")
 def innermost_symbols(spark, sf_dir):
     hits = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("hit_id"), F.expr("concat('f', o_orderkey % 40)").alias("file"), (F.col("o_orderkey") % 97).alias("line"))
-    p = read(spark, sf_dir, "part").where("p_partkey % 5 = 0")
+    p = read(spark, sf_dir, "part")
     symbols = p.select(F.expr("concat('f', p_partkey % 40)").alias("file"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("symbol"), (F.col("p_partkey") % 60).alias("start"), (F.col("p_partkey") % 60 + F.col("p_size")).alias("end"))
     return rm.innermost(hits, symbols)
 
