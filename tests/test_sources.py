@@ -166,3 +166,51 @@ def test_text_shapes(spark):
     assert [one(lambda x: fx.cost(x.cast("double")), s) for s in ("0.0012", "3.456")] == ["$0.0012", "$3.46"]
     h = spark.range(1).select(rm.repaired_header(F.lit("@@ -1,9 +2,9 @@ f"), F.array(F.lit(" a"), F.lit("-b"), F.lit("+c"), F.lit("+d"))).alias("h"), rm.is_empty_hunk(F.array(F.lit(" a"))).alias("e")).first()
     assert (h.h, h.e) == ("@@ -1,2 +2,3 @@ f", True)
+
+
+def test_functions_of_brace_languages(spark):
+    from codeloom.sources import brace_units as bu
+
+    c = 'int decl(int a);\nstatic char *\nname(int a)\n{\n  /* { */ s = "}"; if (a) { b(); }\n}\n#define X 1\nint two() { return name(1); }\n'
+    assert [(n, a, b) for n, _, a, b, _ in bu.functions_of(c, "c")] == [("name", 2, 6), ("two", 8, 8)]
+    go = "func (s *Server) Run(a int) error {\n\treturn s.stop()\n}\nfunc main() { f := func() {} }\n"
+    assert [(n, r) for n, r, *_ in bu.functions_of(go, "go")] == [("Run", "Server"), ("main", None)]
+    rust = "trait T { fn must(&self); }\nfn long<'a>(x: &'a str) -> char { 'x' }\n"
+    assert [n for n, *_ in bu.functions_of(rust, "rust")] == ["long"]
+    assert [n for n, *_ in bu.functions_of("<?php class A { public function go($x) { return 1; } }", "php")] == ["go"]
+    assert bu.functions_of("", "c") == bu.functions_of("x", "cobol") == []
+    hidden = bu.blanked('a("x\\"(y") // b(\n/* c( */ d(')
+    assert hidden.count("\n") == 1 and len(hidden) == len('a("x\\"(y") // b(\n/* c( */ d(') and "b(" not in hidden and "d(" in hidden
+    files = spark.createDataFrame([("a.c", "c", c), ("b.go", "go", go), ("n.c", "c", None)], "path string, language string, code string")
+    found = bu.units(files).withColumn("id", F.concat_ws(":", "path", "name")).cache()
+    assert {r.id for r in found.collect()} == {"a.c:name", "a.c:two", "b.go:Run", "b.go:main"}
+    assert {tuple(r) for r in bu.call_edges(found).collect()} == {("a.c:two", "a.c:name")}
+
+
+def test_provider_hook_keeps_rows_of_a_failing_batch(spark):
+    from codeloom.operators import investigation as iv
+
+    def provider(rows):
+        if any(r["n"] == 3 for r in rows):
+            raise ValueError("no answer")
+        return [{"twice": r["n"] * 2} for r in rows]
+
+    got = {r.n: (r.twice, r.provider_error) for r in iv.hooked(spark.range(6).coalesce(1).withColumnRenamed("id", "n"), provider, "twice long", batch=2).collect()}
+    assert got == {0: (0, None), 1: (2, None), 2: (None, "ValueError: no answer"), 3: (None, "ValueError: no answer"), 4: (8, None), 5: (10, None)}
+
+
+def test_retries_and_empty_tables(spark):
+    from codeloom.operators import reports as rp
+    from codeloom.operators import verification as ve
+
+    ran = []
+
+    def step(rows, i):
+        ran.append(i)
+        return rows.select("node", F.lit(i).alias("round"), (F.col("node") > i).alias("failed"))
+
+    rows = spark.range(3).withColumnRenamed("id", "node")
+    assert {(r.node, r.round, r.failed) for r in rp.retried(rows, step, F.col("failed"), 1).collect()} == {(0, 0, False), (1, 1, False), (2, 1, True)} and ran == [0, 1]
+    none = spark.createDataFrame([], "error boolean, incomplete boolean, agree boolean, rewritten boolean, finding string, verdict string, stage1_finding string")
+    assert set(ve.verification_outcomes(none).first()) == {0}
+    assert ve.verified_recount(none).count() == 0
