@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from codeloom.functions import errors
 from codeloom.functions import taxonomy as tx
 
-NO = F.lit(False)
-
 
 def _flag(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False))
