@@ -8,8 +8,8 @@ min(l1, l2) of them.  Each node picks the l in 1..`most_matches` with the least
 scanning its prefix and checking its candidates.
 
 Links are found in two rounds, so that a group of near copies never yields all its pairs:
-1. every prefix shingle held by two nodes or more links its nodes to that which holds it at the
-   earliest place, if the exact check agrees; components are found by large-star/small-star;
+1. every prefix shingle held by two nodes or more links its nodes to those which, in each band of
+   sizes, hold it at the earliest place, if the exact check agrees; components are found by large-star/small-star;
 2. nodes in different components that were compared with one hub are joined on the shingles in
    which they differ from it: near copies of one text that do not link share few of those;
    for shingles whose nodes still lie in several components and have several hubs, nodes that hold
@@ -40,6 +40,8 @@ SLICES = 64
 BROADCAST_IDS = 500_000
 #: Labels and anchors of nodes likewise (24 bytes each).
 BROADCAST_NODES = 1_000_000
+#: A shingle has a hub for each band of set sizes, each so many times the last.
+BAND = 1.5
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -121,6 +123,11 @@ def wanted(info: str) -> Column:
     return F.col(info).bitwiseAND(F.lit(15))
 
 
+def band(info: str) -> Column:
+    """Sizes of one band differ by less than a factor of `BAND`, so that half of two sets' union can be common; there are at most 55."""
+    return F.floor(F.log(size_of(info).cast("double")) / F.lit(float(np.log(BAND)))).cast("int")
+
+
 def may_link(ia: str, ib: str, percent: int) -> Column:
     """Whether sizes and places of a shared shingle allow a link.
 
@@ -326,10 +333,14 @@ def _classes(docs: DataFrame, width: int, percent: int, most_matches: int = 6, b
     met = scratch.store(rows.join(many, "token").dropDuplicates(["token", "node"]), "met")
     scratch.drop("prefix")
     # round 1: each shingle's nodes against that which holds it at the earliest place
-    hubs = met.groupBy("token").agg(F.min(F.struct(place("info").alias("at"), "node", "info")).alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    star = met.select("token", F.col("node").alias("b"), F.col("info").alias("ib")).join(hubs.select("token", F.col("hub.node").alias("a"), F.col("hub.info").alias("ia")), "token").where("a <> b")
+    # of its own size band, and with the hubs of other bands whose sizes allow a link
+    hubs = met.groupBy("token", band("info").alias("band")).agg(F.min(F.struct(place("info").alias("at"), "node", "info")).alias("hub"), F.count(F.lit(1)).alias("held"))
+    hubs = hubs.groupBy("token").agg(F.collect_list(F.struct("band", F.col("hub.node").alias("a"), F.col("hub.info").alias("ia"))).alias("hubs"), F.sum("held").alias("held")).where("held > 1").drop("held")
+    star = met.select("token", F.col("node").alias("b"), F.col("info").alias("ib")).join(hubs, "token").select("b", "ib", band("ib").alias("band"), F.explode("hubs").alias("hub"))
+    sizes = 100 * F.least(size_of("hub.ia"), size_of("ib")) >= percent * F.greatest(size_of("hub.ia"), size_of("ib"))
+    star = star.where((F.col("hub.a") != F.col("b")) & ((F.col("hub.band") == F.col("band")) | sizes)).select("b", "ib", "hub.a", "hub.ia")
     # also those that can't link, if half of their union may be common: round 2a needs how they differ from the hub
-    first = star.where(2 * F.least(size_of("ia"), size_of("ib")) >= F.greatest(size_of("ia"), size_of("ib"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least(wanted("ia"), wanted("ib"))).alias("want"))
+    first = star.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least(wanted("ia"), wanted("ib"))).alias("want"))
     # a star counts only the shingles whose hub is a; pairs it is unsure of are left to round 2
     first = scratch.store(first.where("shared >= greatest(2, want)").select("a", "b"), "pairs")
     compared = _compare(first, docs, ids, scratch, "compared", width, percent)
