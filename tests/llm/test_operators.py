@@ -123,6 +123,17 @@ def test_quality_statistics_and_rules(spark, docs, texts):
     assert quality_rules.learn(x[:0], np.zeros(0, bool)) == []
 
 
+def classes_by_brute_force(sets, percent):
+    own = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                a, b = own[i], own[j]
+                own = [min(a, b) if x in (a, b) else x for x in own]
+    return own
+
+
 @pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
 def test_near_duplicates(spark, width, percent):
     rng = random.Random(8)
@@ -144,18 +155,31 @@ def test_near_duplicates(spark, width, percent):
     rows += [None, "", " ", "A b", "a B"]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     sets = [frozenset(near_dup.shingle_set((t or "").encode(), width).tolist()) for t in rows]
-    own = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both and 100 * both >= percent * len(sets[i] | sets[j]):
-                a, b = own[i], own[j]
-                own = [min(a, b) if x in (a, b) else x for x in own]
+    own = classes_by_brute_force(sets, percent)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicate_classes(df, width, percent).collect()}
     assert got == {i: (len(sets[i]), own[i]) for i in range(len(rows))}
     assert near_dup.near_duplicate_classes(df.limit(0), width, percent).count() == 0
 
 
+def test_near_duplicates_of_many_sizes(spark):
+    """A family cut to lengths on both sides of several band limits, its short members holding every shared shingle earliest."""
+    rng = random.Random(10)
+    family = [f"{rng.choice(WORDS)}{i}" for i in range(160)]
+    rows = []
+    for n in (*range(40, 160, 6), *[50] * 15, *[150] * 25):
+        copy = family[:n]
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(n)] = f"{rng.choice(WORDS)}-"
+        rows.append(" ".join(copy))
+    sets = [frozenset(near_dup.shingle_set(t.encode(), 5).tolist()) for t in rows]
+    bands = {int(np.log(len(x)) / np.log(near_dup.BAND)) for x in sets}
+    own = classes_by_brute_force(sets, 80)
+    assert len(bands) >= 4 and len(set(own)) > 1
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicate_classes(df, 5, 80).collect()}
+    assert got == dict(enumerate(own))
+
+
 def test_near_duplicates_without_or_with_repeated_ids(spark):
     rng = random.Random(9)
     first = prose(rng, 60).split()
