@@ -8,7 +8,8 @@ when/when/otherwise expression, so scoring is a projection.
 Defined results: a null or empty text has 0 of everything and fails the base rule; labels that are
 null or absent teach nothing; several labels of one document count as the lowest; without both
 classes the list is empty and keeps all; repeated rows are rows of their own; an empty table
-gives an empty result; further columns pass through `with_statistics`.
+gives an empty result; further columns pass through `with_statistics`, but those that bear a
+statistic's or feature's name (in any case) are replaced, and the prefix `_q_` is reserved.
 """
 
 from __future__ import annotations
