@@ -6,6 +6,7 @@ from .chat_format import OP7_SQL, op7_chat_format
 from .decontaminate import op6_decontamination
 from .language_id import op2_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .merkle import OP13_SQL, op13_merkle_manifest
 from .mixing import op9_mixing
 from .near_dup import OP5_SQL, op5_ngram_jaccard
 from .quality_rules import op4_quality_rules
@@ -13,5 +14,5 @@ from .substring_dedup import OP8_SQL, op8_substring_dedup
 from .toxicity import op3_toxicity
 from .warc import OP10_SQL, op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_toxicity, op4_quality_rules, op5_ngram_jaccard, op6_decontamination, op7_chat_format, op8_substring_dedup, op9_mixing, op10_warc)}
-SQL = {"op1_line_dedup": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_chat_format": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_toxicity, op4_quality_rules, op5_ngram_jaccard, op6_decontamination, op7_chat_format, op8_substring_dedup, op9_mixing, op10_warc, op13_merkle_manifest)}
+SQL = {"op1_line_dedup": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_chat_format": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
