@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.operators import intervals as iv
+
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key: first-wins or last-wins by what `order` says."""
@@ -25,15 +27,24 @@ def dedup_caller_callee(confirmed: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def overlapping(units: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Units whose [start, end] meets a hunk [a, b] of the same file."""
-    on = (units["file"] == hunks["file"]) & (units["start"] <= hunks["b"]) & (units["end"] >= hunks["a"])
-    return units.join(hunks, on, "left_semi")
+    """Units whose [start, end] meets a hunk [a, b] of the same file: one of the two starts within the other."""
+    begun = iv.ranges_hit(units, hunks.where("a <= b"), "start", "end", "a")
+    within = iv.lines_hit(units.where("start <= end"), hunks, "start", "a", "b").withColumnRenamed("line", "start")
+    met = begun.select("file", "start", "end").unionByName(units.where("start <= end").select("file", "start", "end").distinct().join(within, ["file", "start"], "left_semi")).distinct()
+    return units.join(met, ["file", "start", "end"], "left_semi").select(units.columns)
 
 
 def containing_an_end(units: DataFrame, found: DataFrame) -> DataFrame:
     """Units in which a finding of the same file starts or ends; one that encloses the unit does not count."""
-    inside = lambda x: (units["start"] <= x) & (x <= units["end"])
-    return units.join(found, (units["file"] == found["file"]) & (inside(found["a"]) | inside(found["b"])), "left_semi")
+    ends = found.select("file", F.explode(F.array("a", "b")).alias("line"))
+    return units.join(iv.ranges_hit(units, ends, "start", "end", "line"), ["file", "start", "end"], "left_semi").select(units.columns)
+
+
+def containing_an_end_by_path(units: DataFrame, found: DataFrame) -> DataFrame:
+    """The same where files are named by more or less of their path: a finding (path, a, b) is of the first
+    of the units' files (by `ordinal`) that equals its path, ends with it or that it ends with."""
+    files = units.groupBy("file").agg(F.min("ordinal").alias("ordinal"))
+    return containing_an_end(units, found.join(iv.first_file(found, files), "path").select("file", "a", "b"))
 
 
 def diff_selected(units: DataFrame, changed: DataFrame, hunks: DataFrame) -> DataFrame:
@@ -103,12 +114,3 @@ def resolve_names(wanted: DataFrame, index: DataFrame) -> DataFrame:
     w = wanted.join(index.select(F.col("id").alias("_id")), F.col("name") == F.col("_id"), "left").join(by_name, "name", "left")
     w = w.withColumn("_last", F.element_at(F.split("name", "\\."), -1)).join(by_last, "_last", "left")
     return w.select("name", F.coalesce("_id", "_by_name", "_by_last").alias("resolved"))
-
-
-def merged_intervals(rows: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """Touching or overlapping [start, end] joined to maximal ones."""
-    w = Window.orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    new = F.when(F.col(start) <= F.max(end).over(w), 0).otherwise(1)
-    run = F.sum("_new").over(Window.orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.withColumn("_new", new).withColumn("_run", run)
-    return out.groupBy("_run").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n")).drop("_run")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.operators import prefix
+
 
 def ranked_context(hits: DataFrame, budget: int) -> DataFrame:
     """case, path, place, mode of the paths that fit: the best path whole, then snippets while their sum stays below the budget.
@@ -51,23 +53,11 @@ def limit_modes(units: DataFrame, limit: int) -> DataFrame:
 
 
 def file_batches(files: DataFrame, most: int) -> DataFrame:
-    """files (job, path, size) with batch: smallest first, a new batch when the next would exceed `most`; one job in one task.
+    """files (job, path, size) with batch: smallest first, a new batch when the next would exceed `most`.
 
     A file costs its size, the length of its path and 50; one above the bound has a batch of its own."""
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["size", "path"], kind="stable")
-        batch, used, out = 0, 0, []
-        for size, path in zip(part["size"], part["path"]):
-            cost = int(size) + len(path) + 50
-            if used and used + cost > most:
-                batch, used = batch + 1, 0
-            used += cost
-            out.append(batch)
-        return part.assign(batch=out)[["job", "path", "batch"]]
-
-    kind = dict(files.dtypes)
-    return files.select("job", "path", "size").groupBy("job").applyInPandas(pack, f"job {kind['job']}, path string, batch long")
+    rows = files.select("job", "path", "size", (F.col("size") + F.length("path") + 50).alias("cost"))
+    return prefix.next_fit(rows, "job", "cost", most, F.col("size"), F.col("path")).select("job", "path", "batch")
 
 
 def chunks(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:

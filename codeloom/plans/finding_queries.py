@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from codeloom.functions import taxonomy as tx
 from codeloom.functions import text as fx
 from codeloom.operators import accounting as ac
+from codeloom.operators import prefix
 from codeloom.plans.catalog import VERDICT_SQL, read, register
 
 RES = f"""WITH res AS (SELECT doc_id, source || ':' || doc_id AS unit_id, source AS file, lang, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'insufficient_context' ELSE {VERDICT_SQL} END AS finding,
@@ -131,7 +132,7 @@ def confusion_metrics(spark, sf_dir):
 @register("numbered_findings", RES + f"""SELECT doc_id, row_number() OVER (ORDER BY CASE {BUCKET_SQL} WHEN 'vulnerable' THEN 0 WHEN 'bypassable' THEN 1 WHEN 'inconclusive' THEN 2 WHEN 'protected' THEN 3 WHEN 'safe' THEN 4 ELSE 9 END, doc_id) AS position FROM res""")
 def numbered_findings(spark, sf_dir):
     place = F.coalesce(tx.rank(tx.counted_bucket(F.col("finding"), F.col("verdict"))), F.lit(9))
-    return results(spark, sf_dir).select("doc_id", F.row_number().over(Window.orderBy(place, "doc_id")).alias("position"))
+    return prefix.numbered(results(spark, sf_dir).select("doc_id", place.alias("place")), "position", F.col("place"), F.col("doc_id")).select("doc_id", "position")
 
 
 @register("limited_units", RES + """SELECT doc_id FROM res ORDER BY CASE finding WHEN 'vulnerable' THEN 2 WHEN 'bypassable' THEN 1 ELSE 0 END DESC, doc_id LIMIT 25""")
@@ -231,14 +232,13 @@ SELECT min(s) AS start, max(e) AS "end", count(*) AS n FROM r GROUP BY g""")
 def backoff_intervals(spark, sf_dir):
     e = read(spark, sf_dir, "events").where("event_type = 'error' OR event_id % 9 = 0")
     s = F.unix_timestamp("ts")
-    return ac.merged_intervals(e.select(s.alias("start"), (s + 60 + F.col("event_id") % 120).alias("end")))
+    return prefix.merged_intervals(e.select(s.alias("start"), (s + 60 + F.col("event_id") % 120).alias("end")))
 
 
 @register("log_cap", """SELECT event_id, n - 1 AS index FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS n, sum(length(props)) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b FROM events) WHERE n <= 5000 AND b <= 40000""")
 def log_cap(spark, sf_dir):
-    w = Window.orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = read(spark, sf_dir, "events").select("event_id", "ts", "props")
-    e = e.withColumn("n", F.row_number().over(Window.orderBy("ts", "event_id"))).withColumn("b", F.sum(F.length("props")).over(w))
+    e = prefix.ordered(read(spark, sf_dir, "events").select("event_id", "ts", "props"), F.col("ts"), F.col("event_id"))
+    e = prefix.carried(e, {"n": F.lit(1).cast("long"), "b": F.length("props").cast("long")})
     return e.where("n <= 5000 AND b <= 40000").select("event_id", (F.col("n") - 1).alias("index"))
 
 
