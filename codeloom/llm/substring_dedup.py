@@ -17,9 +17,14 @@ An edge is known by two independent 64-bit hashes, of its words and of its minim
 very common passage are combined before every shuffle: a slab of texts sends each of its edges
 once and settles later copies itself.
 
-Defined results: a null text has no words; texts shorter than `k` words lose nothing; doc_id names
-a text (rows that repeat it whole are judged alike and are no copies of each other); a null doc_id
-counts as the least; an empty table gives an empty result.
+A document is known by its doc_id and two hashes of its text.  While each doc_id has one text, doc_id
+is the number it goes by; else all documents are numbered in the order of doc_id (null first) and
+hashes, by a range shuffle and a prefix over its partitions.
+
+Defined results: a null text has no words; texts shorter than `k` words lose nothing; rows that repeat
+doc_id and text are one document (judged alike, no copies of each other); different texts under one
+doc_id, or under none, are different documents, the one of smaller hashes first; a null doc_id counts
+as the least; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,10 +38,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.operators import prefix
+
 from . import common
 
 M = 8
-NULL_DOC = -(1 << 63)
 PATHS = "doc_id long, start int, edges int, src_doc long, src_start int"
 
 
@@ -55,7 +61,7 @@ def slabs(batch: pa.RecordBatch, most_bytes: int = 6 << 20) -> Iterator[pa.Recor
 
 def _docs(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
     for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-        yield NULL_DOC if doc_id is None else doc_id, (text.as_buffer().to_pybytes().split() if text.is_valid else [])
+        yield doc_id, (text.as_buffer().to_pybytes().split() if text.is_valid else [])
 
 
 def edges_of(words: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,9 +237,23 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _paths(doc[later], pos[later], doc[source], pos[source])
 
 
-def repeated_paths(docs: DataFrame, k: int = 20) -> DataFrame:
+def identified(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows doc_id (the document's number), own_id (its doc_id) and text, and how numbers name ids where they are not the ids."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").cast("binary").alias("text"))
+    rows = rows.withColumn("_sd_a", F.xxhash64("text")).withColumn("_sd_b", F.xxhash64(F.lit(1), "text", F.col("text").isNull()))
+    key = F.struct("_sd_a", "_sd_b")
+    odd = rows.groupBy("own_id").agg(F.min(key).alias("least"), F.max(key).alias("most")).where("own_id IS NULL OR least <> most")
+    if odd.isEmpty():
+        return rows.select(F.col("own_id").alias("doc_id"), "own_id", "text"), None
+    names = prefix.numbered(rows.select("own_id", "_sd_a", "_sd_b").distinct(), "number", F.col("own_id"), F.col("_sd_a"), F.col("_sd_b"))
+    names = common.stored(names.select(F.col("own_id").alias("n_id"), F.col("_sd_a").alias("n_a"), F.col("_sd_b").alias("n_b"), "number"), "names")
+    on = F.col("own_id").eqNullSafe(F.col("n_id")) & (F.col("_sd_a") == F.col("n_a")) & (F.col("_sd_b") == F.col("n_b"))
+    return rows.join(names, on).select(F.col("number").alias("doc_id"), "own_id", "text"), names.select("number", "n_id")
+
+
+def _paths_of(texts: DataFrame, k: int) -> DataFrame:
     """doc_id, start, edges, src_doc, src_start: windows start..start+edges-1 of doc_id also start earlier."""
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_DOC)).cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = texts.select("doc_id", "text")
     asked = texts.mapInArrow(_announce(k), "key long, doc_id long, place int, known array<int>")
     places = asked.repartition("key").mapInArrow(_repeated, "doc_id long, places array<int>")
     places = common.stored(places.groupBy(F.col("doc_id").alias("_sd_doc")).agg(F.collect_list("places").alias("places")), "minimisers")
@@ -242,22 +262,33 @@ def repeated_paths(docs: DataFrame, k: int = 20) -> DataFrame:
     return rows.repartition("key").mapInArrow(_settle, PATHS)
 
 
-def repeated_spans(docs: DataFrame, k: int = 20) -> DataFrame:
-    """Maximal spans: doc_id, start, n_words, src_doc, src_start, compacted from the paths."""
+def _compacted(paths: DataFrame, k: int) -> DataFrame:
+    """Maximal spans doc_id, start, n_words, src_doc, src_start: a path joins the one before it in its
+    document if it begins where that ends or before, and their sources lie as far apart as they do."""
     own = Window.partitionBy("doc_id", "src_doc", F.col("start") - F.col("src_start")).orderBy("start")
     end = F.max(F.col("start") + F.col("edges")).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    runs = repeated_paths(docs, k).withColumn("new", F.when(F.col("start") <= end, 0).otherwise(1))
+    runs = paths.withColumn("new", F.when(F.col("start") <= end, 0).otherwise(1))
     runs = runs.withColumn("span", F.sum("new").over(own))
     out = runs.groupBy("doc_id", "src_doc", (F.col("start") - F.col("src_start")).alias("shift"), "span").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("edges")).alias("end"))
     return out.select("doc_id", "start", (F.col("end") - F.col("start") + k - 1).alias("n_words"), "src_doc", (F.col("start") - F.col("shift")).alias("src_start"))
 
 
+def repeated_spans(docs: DataFrame, k: int = 20) -> DataFrame:
+    """Maximal spans: doc_id, start, n_words, src_doc, src_start, compacted from the paths."""
+    texts, names = identified(docs)
+    spans = _compacted(_paths_of(texts, k), k)
+    if names is None:
+        return spans
+    named = spans.join(names, F.col("doc_id") == F.col("number")).withColumn("own_id", F.col("n_id")).drop("number", "n_id").join(names, F.col("src_doc") == F.col("number"))
+    return named.select(F.col("own_id").alias("doc_id"), "start", "n_words", F.col("n_id").alias("src_doc"), "src_start")
+
+
 def remove_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words joined by a blank) for every row of docs."""
-    paths = repeated_paths(docs, k).groupBy(F.col("doc_id").alias("_sd_doc")).agg(F.collect_list(F.struct("start", "edges")).alias("cut"))
-    paths = common.stored(paths, "paths")
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    held = texts.join(paths, F.coalesce("doc_id", F.lit(NULL_DOC)) == F.col("_sd_doc"), "left").select("doc_id", "text", "cut")
+    texts, _ = identified(docs)
+    spans = _compacted(_paths_of(texts, k), k).groupBy(F.col("doc_id").alias("_sd_doc")).agg(F.collect_list(F.struct("start", "n_words")).alias("cut"))
+    spans = common.stored(spans, "spans")
+    held = texts.join(spans, F.col("doc_id") == F.col("_sd_doc"), "left").select(F.col("own_id").alias("doc_id"), "text", "cut")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,7 +299,7 @@ def remove_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
                     if cut:
                         lost = np.zeros(len(words) + 1, np.int64)
                         np.add.at(lost, [c["start"] for c in cut], 1)
-                        np.add.at(lost, [c["start"] + c["edges"] + k - 1 for c in cut], -1)
+                        np.add.at(lost, [c["start"] + c["n_words"] for c in cut], -1)
                         stay = np.cumsum(lost)[:-1] == 0
                         words = [words[i] for i in np.flatnonzero(stay)]
                     gone.append(n[-1] - len(words))
