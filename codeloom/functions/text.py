@@ -126,7 +126,7 @@ def safe_filename(unit_id: Column, most: int = 233) -> Column:
 
 
 # Shapes of credentials; the first group stays.
-MASK = "[REDACTED]"
+MASK = "***REDACTED***"
 DENSE = "(?=[A-Za-z0-9._\\-]*[A-Za-z0-9]{16})[A-Za-z0-9._\\-]+"
 SECRETS = (
     "(?i)(\\b(?:api[_-]?key|key)\\s*(?:[=:]|%3[Dd])\\s*)[A-Za-z0-9._\\-]{8,}",
@@ -138,7 +138,7 @@ SECRETS = (
 
 def redacted(text: Column) -> Column:
     for shape in SECRETS:
-        text = F.regexp_replace(text, shape, "$1\\" + MASK[:-1] + "\\]")
+        text = F.regexp_replace(text, shape, "$1" + MASK)
     return text
 
 

@@ -155,7 +155,7 @@ def test_text_shapes(spark):
     def one(column, x):
         return spark.createDataFrame([(x,)], "x string").select(column(F.col("x"))).first()[0]
 
-    assert one(fx.redacted, "api_key=abcdefgh1 Bearer abcdefghijkl1 sk-ant-abcdefghijklmnopqrst disk-space AIza" + "a" * 32) == "api_key=[REDACTED] Bearer [REDACTED] [REDACTED] disk-space [REDACTED]"
+    assert one(fx.redacted, "api_key=abcdefgh1 Bearer abcdefghijkl1 sk-ant-abcdefghijklmnopqrst disk-space AIza" + "a" * 32) == "api_key=***REDACTED*** Bearer ***REDACTED*** ***REDACTED*** disk-space ***REDACTED***"
     assert one(fx.collapsed, "a\r\nb\u2028c\td\n") == "a b c\td"
     assert one(fx.boundary_parts, f"a\n# {fx.BOUNDARY}\nb") == ["a\n", "\nb"]
     for raw, want in (("git@Host.com:o/r.git", "https://host.com/o/r"), ("https://u:p@Host.com:8080/o/r.git?x#y", "https://host.com/o/r"), ("C:\\x", ""), ("user:pass@host:p", ""), ("", ""), ("plain", "")):
