@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.plans.catalog import read, register
-from codeloom.sources import tree_source
+from codeloom.plans.catalog import VERDICT_SQL, read, register
+from codeloom.sources import report_writer, sinks, tree_source
 from codeloom.sources.shared import shared_path
 from codeloom.streaming import stateful
 
@@ -79,3 +81,24 @@ def streamed_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The back-off deadline that errors set for each user, and when it is over."""
     rows = event_stream(spark, sf_dir).where("event_type = 'error'").select(F.col("user_id").cast("string").alias("provider"), "at", "seq", F.col("value").alias("retry_after"))
     return drained(stateful.shared_backoff(rows), "backoff")
+
+
+REPORT_LEVELS = "CASE verdict WHEN 'vulnerable' THEN 'error' WHEN 'bypassable' THEN 'warning' ELSE 'note' END"
+
+
+@register(
+    "written_report",
+    f"""WITH r AS (SELECT doc_id, {VERDICT_SQL} AS verdict, coalesce(source, '') AS file FROM documents d JOIN labels l USING (doc_id))
+SELECT verdict AS rule_id, {REPORT_LEVELS} AS level, file AS uri, 'document ' || doc_id AS message FROM r""",
+)
+def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as findings of one report, written by the report source and read back line by line."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("file")).join(read(spark, sf_dir, "labels"), "doc_id").withColumn("verdict", F.expr(VERDICT_SQL))
+    found = rows.select("file", F.col("doc_id").cast("string").alias("function"), "verdict", F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("message"), F.lit(None).cast("int").alias("start_line"), F.expr(REPORT_LEVELS).alias("level"))
+    folder = shared_path(spark, "report")
+    os.makedirs(folder.removeprefix("file://"))
+    report_writer.write_report(sinks.sarif_results(found, F.col("level")).repartitionByRange("rule_id", "result").sortWithinPartitions("rule_id", "result"), f"{folder}/report.sarif")
+    lines = spark.read.text(f"{folder}/report.sarif").where("startswith(value, '{\"ruleId\"')").select(F.regexp_replace("value", ",$", "").alias("r"))
+    kind = "ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>"
+    r = lines.select(F.from_json("r", kind).alias("r"))
+    return r.select(F.col("r.ruleId").alias("rule_id"), "r.level", F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("uri"), F.col("r.message.text").alias("message"))
