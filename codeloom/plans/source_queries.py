@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.operators import state_table
 from codeloom.plans.catalog import VERDICT_SQL, read, register
 from codeloom.sources import report_writer, sinks, tree_source
 from codeloom.sources.shared import shared_path
@@ -102,3 +103,23 @@ def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = "ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>"
     r = lines.select(F.from_json("r", kind).alias("r"))
     return r.select(F.col("r.ruleId").alias("rule_id"), "r.level", F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("uri"), F.col("r.message.text").alias("message"))
+
+
+@register(
+    "resumed_state",
+    """WITH o AS (SELECT 'o' || o_orderkey AS unit, o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, o_totalprice AS t, md5(o_orderpriority) AS code FROM orders),
+d AS (SELECT unit, code,
+    CASE WHEN s = 'P' OR p = '1-URGENT' THEN 'second' WHEN s = 'F' THEN 'first' END AS last, CASE WHEN s = 'P' OR p = '1-URGENT' THEN t > 200000 ELSE false END AS failed,
+    CASE WHEN s = 'F' AND NOT (p = '1-URGENT') AND k % 5 = 0 THEN 'old' ELSE code END AS held FROM o)
+SELECT unit, CASE WHEN last IS NULL THEN 'new' WHEN held <> code THEN 'changed' WHEN failed THEN 'failed' ELSE 'adopted' END AS status,
+  CASE WHEN last IS NOT NULL AND held = code AND NOT failed THEN last END AS state FROM d""",
+)
+def resumed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as units: filled ones were done first (a fifth with other code), pending and urgent ones again later; what a third run adopts."""
+    o = read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("unit"), "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", F.md5(F.col("o_orderpriority").cast("binary")).alias("code_digest"))
+    table = state_table.StateTable(spark, shared_path(spark, "state"))
+    table.sync("backend")
+    old = F.when(F.col("o_orderkey") % 5 == 0, F.lit("old")).otherwise(F.col("code_digest"))
+    table.append(o.where("o_orderstatus = 'F'").select("unit", old.alias("code_digest"), F.lit("first").alias("state"), F.lit(False).alias("is_error")))
+    table.append(o.where("o_orderstatus = 'P' OR o_orderpriority = '1-URGENT'").select("unit", "code_digest", F.lit("second").alias("state"), (F.col("o_totalprice") > 200000).alias("is_error")))
+    return table.resume(o.select("unit", "code_digest")).select("unit", "status", "state")
