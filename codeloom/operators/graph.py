@@ -60,13 +60,18 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
-    """(start, node, depth) within `hops`, the start itself left out; unrolled, least depth wins."""
-    walk = starts.select(F.col("node").alias("start"), "node").withColumn("depth", F.lit(0))
-    found = walk
+    """(start, node, depth) within `hops`, the start itself left out; least depth wins.
+
+    A pair that has been met is not walked from again, so a hub or a cycle is passed once a start."""
+    walk = _checkpointed(starts.select(F.col("node").alias("start"), "node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
+    layers = [walk]
     for d in range(1, hops + 1):
-        walk = walk.join(edges, walk["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(d))
-        found = found.unionByName(walk)
-    return found.groupBy("start", "node").agg(F.min("depth").alias("depth")).where("node <> start")
+        step = walk.join(edges, walk["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
+        walk = _checkpointed(step.join(_union(layers).select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        if walk.isEmpty():
+            break
+        layers.append(walk)
+    return _union(layers[1:]).where("node <> start") if len(layers) > 1 else walk.limit(0)
 
 
 def degree_statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:

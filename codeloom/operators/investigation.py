@@ -191,13 +191,13 @@ def dominant_language(files: DataFrame) -> DataFrame:
 def best_candidates(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """(call, id): for each call (call, name, hint) the function (id, name, path, is_function) of that name whose path shares most trailing segments with the hint.
 
-    No shared segment gives no edge; functions win over methods, then the least id."""
-    both = calls.join(functions, "name")
-    a, b = F.reverse(F.split("hint", "/")), F.reverse(F.split("path", "/"))
-    apart = F.filter(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda i: F.element_at(a, i) != F.element_at(b, i))
-    score = F.when(F.size(apart) > 0, F.element_at(apart, 1) - 1).otherwise(F.least(F.size(a), F.size(b)))
-    order = Window.partitionBy("call").orderBy(F.desc("score"), F.desc("is_function"), "id")
-    return both.withColumn("score", score).where("score > 0").withColumn("place", F.row_number().over(order)).where("place = 1").select("call", "id", "score")
+    No shared segment gives no edge; functions win over methods, then the least id.  Of all functions with one name and
+    one ending of the path only the best is kept before calls meet them, so a name that many bear costs a row an ending."""
+    endings = lambda path: F.transform(F.sequence(F.lit(1), F.size(F.split(path, "/"))), lambda i: F.struct(i.alias("score"), F.array_join(F.slice(F.split(path, "/"), F.size(F.split(path, "/")) - i + 1, i), "/").alias("ending")))
+    f = functions.where("name IS NOT NULL AND path IS NOT NULL").select("name", "id", "is_function", F.explode(endings(F.col("path"))).alias("e"))
+    best = f.groupBy("name", F.col("e.ending").alias("ending")).agg(F.min_by("id", F.struct(~F.col("is_function"), "id")).alias("id"))
+    c = calls.where("name IS NOT NULL AND hint IS NOT NULL").select("call", "name", F.explode(endings(F.col("hint"))).alias("e")).select("call", "name", "e.score", "e.ending")
+    return c.join(best, ["name", "ending"]).groupBy("call").agg(F.max_by("id", "score").alias("id"), F.max("score").alias("score"))
 
 
 def inlined_units(units: DataFrame, index: DataFrame) -> DataFrame:

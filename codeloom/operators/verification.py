@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codeloom.functions import errors
 from codeloom.functions import taxonomy as tx
@@ -102,7 +103,7 @@ def gate_open(rows: DataFrame, candidate: Column) -> DataFrame:
 def agentic_statistics(units: DataFrame) -> DataFrame:
     """One row over units (has_context, error_type, include_functions, assembly_failed, security_class, iterations).
 
-    A unit with an error counts as nothing but an error; the histogram of error types is a map."""
+    A unit with an error counts as nothing but an error; `error_types` is the map of their types, which must be few, to their numbers."""
     has, err = _flag("has_context"), F.col("error_type").isNotNull()
     good = has & ~err
     added = good & ~_flag("assembly_failed") & (F.size("include_functions") > 0)
@@ -113,7 +114,8 @@ def agentic_statistics(units: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(added, F.size("include_functions"))), F.lit(0)).cast("long").alias("functions_added"), cls("security_control").alias("security_controls_found"), cls("exploitable").alias("exploitable_found"),
         cls("vulnerable_internal").alias("vulnerable_found"), cls("incomplete").alias("incomplete_found"), (F.count_if(good) - cls(*known)).alias("neutral_found"), F.count_if(has & err).alias("errors"),
     )
-    return flat
+    kinds = error_histogram(units.where(has & err), F.col("error_type")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "n")))).alias("error_types"))
+    return flat.join(F.broadcast(kinds))  # one row each
 
 
 def error_histogram(rows: DataFrame, bucket: Column) -> DataFrame:
@@ -163,8 +165,6 @@ def step_deltas(snapshots: DataFrame) -> DataFrame:
     """run, step, deltas of running totals (tokens, cost) against the run's step before, and the step's status.
 
     Rows: run, step, tokens, cost, failed, interrupted, error_count, incomplete_count."""
-    from pyspark.sql.window import Window
-
     own = Window.partitionBy("run").orderBy("step")
     positive = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
     status = F.when(_flag("failed"), "error").when(_flag("interrupted"), "interrupted").when(positive("error_count") | positive("incomplete_count"), "partial").otherwise("success")

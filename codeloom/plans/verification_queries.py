@@ -130,18 +130,19 @@ def error_buckets(spark, sf_dir):
     return ve.error_histogram(read(spark, sf_dir, "events"), errors.summary_bucket(*error_columns()))
 
 
-@register("agentic_statistics", """WITH u AS (SELECT o_orderkey % 4 <> 0 AS has, CASE WHEN o_orderkey % 11 = 0 THEN 'timeout' END AS err, o_orderkey % 3 AS n, o_orderkey % 10 = 0 AS failed, o_orderkey % 7 AS it,
+@register("agentic_statistics", """WITH u AS (SELECT o_orderkey % 4 <> 0 AS has, CASE WHEN o_orderkey % 11 = 0 THEN 'timeout' WHEN o_orderkey % 13 = 0 THEN 'rate_limit' END AS err, o_orderkey % 3 AS n, o_orderkey % 10 = 0 AS failed, o_orderkey % 7 AS it,
  CASE o_orderkey % 6 WHEN 0 THEN 'exploitable' WHEN 1 THEN 'security_control' WHEN 2 THEN 'vulnerable_internal' WHEN 3 THEN 'incomplete' WHEN 4 THEN NULL ELSE 'neutral' END AS cls FROM orders), g AS (SELECT * FROM u WHERE has AND err IS NULL)
 SELECT count(*) AS units_processed, count(*) FILTER (NOT failed AND n > 0) AS units_with_context, CAST(sum(it) AS BIGINT) AS total_iterations, CAST(sum(n) FILTER (NOT failed) AS BIGINT) AS functions_added,
  count(*) FILTER (cls = 'security_control') AS security_controls_found, count(*) FILTER (cls = 'exploitable') AS exploitable_found, count(*) FILTER (cls = 'vulnerable_internal') AS vulnerable_found,
- count(*) FILTER (cls = 'incomplete') AS incomplete_found, count(*) FILTER (coalesce(cls, 'neutral') = 'neutral') AS neutral_found, (SELECT count(*) FROM u WHERE has AND err IS NOT NULL) AS errors FROM g""")
+ count(*) FILTER (cls = 'incomplete') AS incomplete_found, count(*) FILTER (coalesce(cls, 'neutral') = 'neutral') AS neutral_found, (SELECT count(*) FROM u WHERE has AND err IS NOT NULL) AS errors,
+ (SELECT string_agg(err || ':' || n, ',' ORDER BY err) FROM (SELECT err, count(*) AS n FROM u WHERE has AND err IS NOT NULL GROUP BY err)) AS error_types FROM g""")
 def agentic_statistics(spark, sf_dir):
     cls = F.expr("CASE o_orderkey % 6 WHEN 0 THEN 'exploitable' WHEN 1 THEN 'security_control' WHEN 2 THEN 'vulnerable_internal' WHEN 3 THEN 'incomplete' WHEN 4 THEN NULL ELSE 'neutral' END")
     units = read(spark, sf_dir, "orders").select(
-        F.expr("o_orderkey % 4 <> 0").alias("has_context"), F.expr("CASE WHEN o_orderkey % 11 = 0 THEN 'timeout' END").alias("error_type"), F.expr("slice(array('a', 'b'), 1, int(o_orderkey % 3))").alias("include_functions"),
+        F.expr("o_orderkey % 4 <> 0").alias("has_context"), F.expr("CASE WHEN o_orderkey % 11 = 0 THEN 'timeout' WHEN o_orderkey % 13 = 0 THEN 'rate_limit' END").alias("error_type"), F.expr("slice(array('a', 'b'), 1, int(o_orderkey % 3))").alias("include_functions"),
         F.expr("o_orderkey % 10 = 0").alias("assembly_failed"), cls.alias("security_class"), F.expr("o_orderkey % 7").alias("iterations"),
     )
-    return ve.agentic_statistics(units)
+    return ve.agentic_statistics(units).withColumn("error_types", F.array_join(F.transform(F.map_entries("error_types"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ","))
 
 
 @register("cache_usage", """SELECT event_id, CAST(greatest(event_id % 50 - 5, 0) + event_id % 7 AS BIGINT) AS cache_read, CAST(event_id % 11 AS BIGINT) AS cache_read_inclusive, CAST(event_id % 3 AS BIGINT) AS cache_write, CAST(greatest(2 - event_id % 5, 0) AS BIGINT) AS cache_write_inclusive FROM events""")
