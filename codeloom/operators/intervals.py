@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators import prefix
+
 LEVELS = 63
 
 
@@ -71,6 +73,27 @@ def first_range(lines: DataFrame, ranges: DataFrame, line: str, start: str, end:
     return met.groupBy("file", "line").agg(F.min("first").alias("first")).select("file", "line", F.col("first.v").alias("value"))
 
 
+def nearest_start(lines: DataFrame, ranges: DataFrame, line: str, start: str, ordinal: str, value: str) -> DataFrame:
+    """(file, line, value) of the range of its file that starts nearest to each line, ties to the smaller start, then the smaller ordinal.
+
+    Starts and lines stand in one order; the nearest start before a line, and in the opposite order the
+    nearest after it, is what a prefix over the partitions carries, however many lines a file has."""
+    begun = ranges.where("file IS NOT NULL").groupBy("file", F.col(start).cast("long").alias("start")).agg(F.min(F.struct(F.col(ordinal).alias("o"), F.col(value).alias("value"))).alias("first")).where("start IS NOT NULL")
+    at = lines.select("file", F.col(line).cast("long").alias("line")).where("file IS NOT NULL AND line IS NOT NULL").distinct()
+
+    def side(sign: int) -> DataFrame:
+        place = sign * F.col("start")
+        held = begun.select("file", place.alias("v"), F.lit(0).alias("kind"), F.struct("file", place.alias("v"), "first").alias("held"))
+        asked = at.select("file", (sign * F.col("line")).alias("v"), F.lit(1).alias("kind"))
+        rows = prefix.ordered(held.unionByName(asked, allowMissingColumns=True), F.col("file"), F.col("v"), F.col("kind"))
+        near = prefix.carried(rows, before={"near": F.col("held")}).where("kind = 1 AND near.file = file")
+        return near.select("file", (sign * F.col("v")).alias("line"), (sign * F.col("near.v")).alias("start"), F.col("near.first").alias("first"))
+
+    both = side(1).unionByName(side(-1))
+    best = F.min(F.struct(F.abs(F.col("line") - F.col("start")).alias("d"), "start", "first")).alias("best")
+    return both.groupBy("file", "line").agg(best).select("file", "line", F.col("best.first.value").alias("value"))
+
+
 def first_file(paths: DataFrame, files: DataFrame) -> DataFrame:
     """(path, file): the first of files (file, ordinal) that equals the path, ends with it, or that it ends with.
 

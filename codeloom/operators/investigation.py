@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.operators import intervals as iv
 from codeloom.operators import prefix
 
 
@@ -127,10 +128,10 @@ def containing_functions(hits: DataFrame, functions: DataFrame) -> DataFrame:
     """hits (hit, file, line) with the first function in list order that contains the line, else the nearest by start.
 
     functions: file, ordinal, name, start, end."""
-    both = hits.join(functions, "file", "left")
-    inside = (F.col("start") <= F.col("line")) & (F.col("line") <= F.col("end"))
-    far = F.struct(F.abs(F.col("start") - F.col("line")).alias("d"), F.col("start").alias("s"), F.col("ordinal").alias("o"))
-    rows = both.groupBy("hit", "file", "line").agg(F.min_by(F.when(inside, F.col("name")), F.when(inside, F.col("ordinal"))).alias("within"), F.min_by("name", F.when(F.col("start").isNotNull(), far)).alias("nearest"))
+    asked = hits.select("hit", "file", "line").distinct()
+    within = iv.first_range(asked, functions, "line", "start", "end", "ordinal", "name").withColumnRenamed("value", "within")
+    nearest = iv.nearest_start(asked, functions, "line", "start", "ordinal", "name").withColumnRenamed("value", "nearest")
+    rows = asked.join(within, ["file", "line"], "left").join(nearest, ["file", "line"], "left")
     return rows.select("hit", "file", "line", F.coalesce("within", "nearest").alias("name"), F.when(F.col("within").isNotNull(), "contains").when(F.col("nearest").isNotNull(), "nearest").otherwise("none").alias("how"))
 
 

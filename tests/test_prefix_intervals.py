@@ -84,6 +84,18 @@ def test_overlap_and_containment(spark):
     assert ac.overlapping(u, h.limit(0)).count() == 0 and ac.containing_an_end(u.limit(0), h).count() == 0
 
 
+def test_containing_or_nearest_function(spark):
+    rng = random.Random(6)
+    functions = [(rng.choice("abc"), i, f"n{i}", s := rng.choice((None, rng.randrange(60))), None if s is None or i % 5 == 0 else s + rng.randrange(9)) for i in range(40)]
+    hits = [(i, rng.choice("abcz"), rng.randrange(-5, 70)) for i in range(60)] + [(99, None, 3), (98, "a", None)]
+    got = {r.hit: (r.name, r.how) for r in inv.containing_functions(spark.createDataFrame(hits, "hit int, file string, line int"), spark.createDataFrame(functions, "file string, ordinal int, name string, start int, end int")).collect()}
+    for hit, file, line in hits:
+        own = [f for f in functions if f[0] == file and f[3] is not None and line is not None]
+        inside = [f for f in own if f[4] is not None and f[3] <= line <= f[4]]
+        want = (min(inside, key=lambda f: f[1])[2], "contains") if inside else (min(own, key=lambda f: (abs(f[3] - line), f[3], f[1]))[2], "nearest") if own else (None, "none")
+        assert got[hit] == want
+
+
 def test_first_matching_file(spark):
     files = ["src/a.py", "lib/src/a.py", "a.py", "xa.py", "b/c.py", "", None]
     paths = ["a.py", "repo/src/a.py", "c.py", "nothing", "", None, "zzz/xa.py"]
