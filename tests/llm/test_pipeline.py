@@ -96,7 +96,7 @@ def test_queries_match_their_sql(spark, name):
     if not os.path.isdir(sf):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.sql(catalog.SQL[name])
     got = catalog.QUERIES[name](spark, sf)
