@@ -45,18 +45,18 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "streamed_job_log",
-    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS job, ts, event_id, event_type = 'signup' AS ends, props,
-    row_number() OVER w - 1 AS n, coalesce(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended
-  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-silent AS (SELECT job, count(*) AS n FROM e GROUP BY job HAVING NOT bool_or(ends) AND epoch_us(max(ts)) // 1000 + 3600000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events))
-SELECT job, n AS index, CASE WHEN ends THEN 'done' ELSE 'line' END AS event, CASE WHEN ends THEN 'signup' ELSE props END AS data FROM e WHERE ended = 0
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS job, ts, event_id, event_type = 'signup' AS ends, props, epoch_us(ts) // 1000 AS ms, row_number() OVER w - 1 AS n,
+    lag(epoch_us(ts) // 1000) OVER w AS before, coalesce(lag(event_type = 'signup') OVER w, false) AS ended FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+d AS (SELECT *, bool_or(ended OR coalesce(ms - before >= 172800000, false)) OVER (PARTITION BY job ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS dead FROM e),
+silent AS (SELECT job, count(*) AS n FROM d WHERE NOT dead GROUP BY job HAVING NOT bool_or(ends) AND max(ms) + 172800000 <= (SELECT max(ms) FROM e))
+SELECT job, n AS index, CASE WHEN ends THEN 'done' ELSE 'line' END AS event, CASE WHEN ends THEN 'signup' ELSE props END AS data FROM d WHERE NOT dead
 UNION ALL SELECT job, n, 'expired', NULL FROM silent""",
 )
 def streamed_job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log for each user: numbered lines up to the first sign-up."""
+    """A log for each user: numbered lines up to the first sign-up or two days of silence."""
     ends = F.col("event_type") == "signup"
     rows = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("job"), "at", "seq", F.when(~ends, F.col("props")).alias("line"), F.when(ends, F.col("event_type")).alias("status"))
-    return drained(stateful.indexed_log(rows), "job-log")
+    return drained(stateful.indexed_log(rows, idle_seconds=172_800, forget_seconds=10**9), "job-log")
 
 
 @register(
