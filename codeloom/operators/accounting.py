@@ -26,17 +26,31 @@ def dedup_caller_callee(confirmed: DataFrame, edges: DataFrame) -> DataFrame:
     return confirmed.join(drop, "node", "left_anti")
 
 
-def overlapping(units: DataFrame, hunks: DataFrame) -> DataFrame:
+FEW_RANGES = 1000  # so many ranges or lines are sent to every task instead
+
+
+def _few(rows: DataFrame, few: int) -> bool:
+    return rows.limit(few + 1).count() <= few
+
+
+def overlapping(units: DataFrame, hunks: DataFrame, few: int = FEW_RANGES) -> DataFrame:
     """Units whose [start, end] meets a hunk [a, b] of the same file: one of the two starts within the other."""
-    begun = iv.ranges_hit(units, hunks.where("a <= b"), "start", "end", "a")
+    hunks = hunks.select("file", "a", "b").where("a <= b")
+    if _few(hunks, few):
+        h = F.broadcast(hunks.select(F.col("file").alias("h_file"), F.col("a").alias("h_a"), F.col("b").alias("h_b")))
+        return units.join(h, (F.col("file") == F.col("h_file")) & (F.col("start") <= F.col("end")) & (F.col("start") <= F.col("h_b")) & (F.col("end") >= F.col("h_a")), "left_semi")
+    begun = iv.ranges_hit(units, hunks, "start", "end", "a")
     within = iv.lines_hit(units.where("start <= end"), hunks, "start", "a", "b").withColumnRenamed("line", "start")
     met = begun.select("file", "start", "end").unionByName(units.where("start <= end").select("file", "start", "end").distinct().join(within, ["file", "start"], "left_semi")).distinct()
     return units.join(met, ["file", "start", "end"], "left_semi").select(units.columns)
 
 
-def containing_an_end(units: DataFrame, found: DataFrame) -> DataFrame:
+def containing_an_end(units: DataFrame, found: DataFrame, few: int = FEW_RANGES) -> DataFrame:
     """Units in which a finding of the same file starts or ends; one that encloses the unit does not count."""
     ends = found.select("file", F.explode(F.array("a", "b")).alias("line"))
+    if _few(ends, few):
+        e = F.broadcast(ends.select(F.col("file").alias("e_file"), F.col("line").alias("e_line")))
+        return units.join(e, (F.col("file") == F.col("e_file")) & F.col("e_line").between(F.col("start"), F.col("end")), "left_semi")
     return units.join(iv.ranges_hit(units, ends, "start", "end", "line"), ["file", "start", "end"], "left_semi").select(units.columns)
 
 
