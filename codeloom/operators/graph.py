@@ -150,7 +150,8 @@ def method_orders(bases: DataFrame) -> DataFrame:
     """(node, chain): the C3 order of each class of rows (node, bases array, nearest first).
 
     A class is ordered once all its bases are; unknown bases are classes without bases.  A class
-    whose bases have no consistent order, or that inherits from itself, gets a null chain."""
+    whose bases have no consistent order gets what can be ordered, then the rest as its bases list it; one that
+    inherits from itself, or from such a class, gets a null chain."""
     @F.pandas_udf("array<string>")
     def merged(nodes: pd.Series, lists: pd.Series, own: pd.Series) -> pd.Series:
         def one(node, chains, direct) -> list[str] | None:
@@ -160,7 +161,9 @@ def method_orders(bases: DataFrame) -> DataFrame:
             while todo:
                 behind = {x for c in todo for x in c[1:]}
                 head = next((c[0] for c in todo if c[0] not in behind), None)
-                if head is None or head == node:
+                if head is None:  # no consistent order: what is left, first come first served
+                    return list(dict.fromkeys([*out, *(x for c in todo for x in c)]))
+                if head == node:
                     return None
                 out.append(head)
                 todo = [d for c in todo if (d := [x for x in c if x != head])]
