@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.functions import prose
+from codeloom.functions import code_text, prose
 from codeloom.operators import graph as g
 from codeloom.operators import reports as rp
 from codeloom.plans.catalog import read, register
@@ -126,7 +126,7 @@ CODE = """concat('// f0() {', chr(10), 'static int f', p_partkey, '(int a) {', c
 @register("c_units", "SELECT 'p' || p_partkey || '.c' AS path, 'f' || p_partkey AS name, CAST(2 AS INT) AS start, CAST(6 AS INT) AS \"end\", 'f' || p_partkey || ',f' || (p_partkey + 1) || ',g' AS calls FROM part")
 def c_units(spark, sf_dir):
     files = read(spark, sf_dir, "part").select(F.expr("concat('p', p_partkey, '.c')").alias("path"), F.lit("c").alias("language"), F.expr(CODE).alias("code"))
-    return bu.units(files).select("path", "name", "start", "end", F.array_join(bu.call_names(F.col("code")), ",").alias("calls"))
+    return bu.units(files).select("path", "name", "start", "end", F.array_join(code_text.called_names(F.col("code")), ",").alias("calls"))
 
 
 @register("c_call_edges", "SELECT 'f' || p_partkey AS src, 'f' || (p_partkey + 1) AS dst FROM part WHERE p_partkey + 1 IN (SELECT p_partkey FROM part)")

@@ -12,9 +12,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions import code_text
+
 HIDDEN = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*(?:"|\Z)|'(?:\\.|[^'\\])*(?:'|\Z)""", re.S)
 RUST_HIDDEN = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*(?:"|\Z)|'(?:\\.|[^'\\\n])'""", re.S)
 DEFINITIONS = {
@@ -26,8 +28,6 @@ DEFINITIONS = {
     "php": re.compile(r"\bfunction\s+&?(?P<name>[A-Za-z_]\w*)\s*\("),
     "javascript": re.compile(r"\bfunction\s*\*?\s+(?P<name>[A-Za-z_$][\w$]*)\s*\("),
 }
-# Words before a parenthesis that are no calls.
-NO_CALLS = ("if", "while", "for", "switch", "return", "sizeof", "typeof", "alignof", "offsetof", "case", "else")
 
 
 def blanked(code: str, language: str = "c") -> str:
@@ -68,24 +68,15 @@ def units(files: DataFrame) -> DataFrame:
     return files.select("path", "language", "code").mapInPandas(run, "path string, name string, receiver string, start int, end int, code string")
 
 
-def blanked_code(code: Column) -> Column:
-    @F.pandas_udf("string")
-    def blank(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else blanked(x))
-
-    return blank(code)
-
-
-def call_names(code: Column, builtins: tuple[str, ...] = NO_CALLS) -> Column:
-    """Names before a parenthesis, once each in order, outside comments and literals; not the language's own words."""
-    found = F.regexp_extract_all(blanked_code(code), F.lit(r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\("), F.lit(1))
-    return F.array_except(F.array_distinct(found), F.array(*map(F.lit, builtins)))
-
+def call_edges(functions: DataFrame, language: str = "c") -> DataFrame:
+    """(src, dst) between functions (id, path, name, receiver, code): a name in the same file, else the only free function of that name.
 
-def call_edges(functions: DataFrame) -> DataFrame:
-    """(src, dst) between functions (id, path, name, receiver, code): a name in the same file, else the only free function of that name."""
-    calls = functions.select(F.col("id").alias("src"), "path", F.col("name").alias("own"), F.explode(call_names(F.col("code"))).alias("called"))
+    Names of Python's own functions and modules are found in the same file only."""
+    calls = functions.select(F.col("id").alias("src"), "path", F.explode(code_text.called_names(F.col("code"), language)).alias("called"))
     local = functions.groupBy("path", F.col("name").alias("called")).agg(F.min("id").alias("near"))
-    lone = functions.where("receiver IS NULL").groupBy(F.col("name").alias("called")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("far")).where("n = 1").drop("n")
+    free = functions.where("receiver IS NULL")
+    if language == "python":
+        free = free.where(~F.col("name").isin(*code_text.PYTHON_OWN))
+    lone = free.groupBy(F.col("name").alias("called")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("far")).where("n = 1").drop("n")
     rows = calls.join(local, ["path", "called"], "left").join(lone, "called", "left")
     return rows.select("src", F.coalesce("near", "far").alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
