@@ -4,10 +4,14 @@ Terms are words and their openings of four and five letters, lower-cased; every
 labelled sample is kept.  A term's IDF is scaled by how surely the toxic class prefers it:
 `floor` for terms that tell nothing, up to 1 + `floor` with a growing log-likelihood ratio g
 (g / (g + `half_g`)).  The scale never drops a term, so a copy of an example has cosine 1 with it.
-The examples stand in an inverted index; terms that a tenth of the examples hold are summed as one
-dense product for a batch of texts, the rest by their posting lists.  Every example is compared
-(no block is skipped), so the neighbours are exact and are returned as evidence.  Their distance-weighted votes, shrunk to the base rate, are mapped
-to a probability by bins fitted on leave-one-out votes of the examples.
+The examples stand in a block-max inverted index: they are ordered by their strongest term and cut
+into blocks of 16, and each term keeps its greatest weight in every block that holds it.  Terms that a
+tenth of the examples hold (longer lists than a scan would save) are summed first, in one dense product
+for a batch of texts; a block's greatest such sum and the maxima of the other terms bound its cosines.
+Posting blocks are read from the greatest bound down until the next is below the kth cosine found;
+what is skipped cannot be a neighbour, so the neighbours are exact and are returned as evidence.  The neighbours'
+distance-weighted votes, shrunk to the base rate, are mapped to a probability by bins fitted on
+leave-one-out votes of the examples.
 
 The sample holds at most `max_examples` labelled rows (least hashes of doc_id; toxic rows may fill
 half of it), less near copies (Jaccard of `alike` over word windows, same label); index and terms
@@ -38,6 +42,8 @@ from . import common
 
 LETTERS = re.compile(r"[^\W\d_]+")
 TOGETHER = 64  # texts of one dense product
+BLOCK = 16  # examples
+WAVE = 16  # blocks compared first; each next wave is four times as long
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -58,9 +64,10 @@ class Model:
     values: np.ndarray
     k: int
     ids: np.ndarray  # doc_id of each example
+    turn: np.ndarray  # its place among the learning rows, for ties
 
     def __getstate__(self) -> dict:
-        return {x: v for x, v in self.__dict__.items() if x not in ("place", "dense")}
+        return {x: v for x, v in self.__dict__.items() if x not in ("place", "dense", "maxima")}
 
     @property
     def postings(self) -> list[tuple[np.ndarray, np.ndarray, int]]:
@@ -75,14 +82,31 @@ class Model:
         out[common_terms] = np.arange(len(common_terms))
         return out
 
+    @property
+    def n_blocks(self) -> int:
+        return -(-len(self.labels) // BLOCK)
+
     @cached_property
     def dense(self) -> np.ndarray:
-        out = np.zeros((int(self.place.max(initial=-1)) + 1, len(self.labels)))
+        """Weights of the common terms: (term, example), examples filled up to whole blocks."""
+        out = np.zeros((int(self.place.max(initial=-1)) + 1, self.n_blocks * BLOCK))
         for t in np.flatnonzero(self.place >= 0):
             a, b = self.starts[t], self.starts[t + 1]
             out[self.place[t], self.who[a:b]] = self.weight[a:b]
         return out
 
+    @cached_property
+    def maxima(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Posting blocks, by term and block: each term's first (and an end), the block, its first posting (and an end), the greatest weight."""
+        if not len(self.who):
+            return np.zeros(len(self.starts), np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0)
+        block = self.who.astype(np.int64) // BLOCK
+        new = np.ones(len(block), bool)
+        new[1:] = block[1:] != block[:-1]
+        new[self.starts[:-1][np.diff(self.starts) > 0]] = True
+        at = np.flatnonzero(new)
+        return np.searchsorted(at, self.starts), block[at], np.append(at, len(block)), np.maximum.reduceat(self.weight, at)
+
     def weighted(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[ids]
         return w / np.sqrt((w**2).sum()) if len(w) else w
@@ -93,30 +117,53 @@ class Model:
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (terms, weights) the examples and cosines of the k nearest, exactly."""
-        n, out = len(self.labels), []
+        first, block, _, greatest = self.maxima
+        out = []
         for at in range(0, len(queries), TOGETHER):
             part = queries[at : at + TOGETHER]
             q = np.zeros((len(part), len(self.dense)))
             for row, (ids, w) in zip(q, part):
                 p = self.place[ids]
                 row[p[p >= 0]] = w[p >= 0]
-            for j, (acc, (ids, w)) in enumerate(zip(q @ self.dense, part)):
+            for j, (sums, (ids, w)) in enumerate(zip(q @ self.dense, part)):
                 rare = self.place[ids] < 0
-                ids, w = ids[rare], w[rare]
-                lo, size = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
-                ends = np.cumsum(size)
-                if len(ids) and ends[-1]:
-                    flat = np.arange(ends[-1]) + np.repeat(lo - ends + size, size)
-                    acc = acc + np.bincount(self.who[flat], self.weight[flat] * np.repeat(w, size), n)
-                acc = np.round(acc, 12)  # whatever the order of the sums
-                if skip is not None:
-                    acc[skip[at + j]] = 0
-                least = max(np.partition(acc, n - self.k)[n - self.k], 1e-12) if n > self.k else 1e-12
-                i = np.flatnonzero(acc >= least)
-                i = i[np.argsort(-acc[i], kind="stable")[: self.k]]
-                out.append((i, acc[i]))
+                own, times = _ranges(first[ids[rare]], first[ids[rare] + 1])  # posting blocks of the rare terms
+                times = np.repeat(w[rare], times)
+                sums = sums.reshape(self.n_blocks, BLOCK)
+                bound = sums.max(axis=1, initial=0) + np.bincount(block[own], greatest[own] * times, self.n_blocks)
+                out.append(self._from_the_greatest(bound, sums, own, times, None if skip is None else skip[at + j]))
         return out
 
+    def _from_the_greatest(self, bound: np.ndarray, sums: np.ndarray, own: np.ndarray, times: np.ndarray, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest, from blocks by falling bound, until none that is left can hold one."""
+        _, block, posting, _ = self.maxima
+        order, within = np.argsort(-bound, kind="stable"), block[own]
+        begin, end = posting[own], posting[own + 1]
+        who, cosine = np.empty(0, np.int64), np.empty(0)
+        done, wave, read = 0, WAVE, np.zeros(self.n_blocks, bool)
+        while done < len(order):
+            least = cosine[-1] if len(cosine) == self.k else 1e-12
+            now = order[done : done + wave]
+            now = now[bound[now] >= least - 1e-9]  # sums of bounds and of cosines are rounded apart
+            if not len(now):
+                break
+            done, wave = done + wave, 4 * wave
+            read[now] = True
+            slots = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            here = np.flatnonzero(read[within])
+            flat, size = _ranges(begin[here], end[here])
+            more = np.bincount(self.who[flat], self.weight[flat] * np.repeat(times[here], size), sums.size)
+            acc = sums.ravel()[slots] + more[slots]
+            read[now] = False
+            acc = np.round(acc, 12)  # whatever the order of the sums
+            good = acc >= max(least, 1e-12)
+            if skip is not None:
+                good &= slots != skip
+            who, cosine = np.concatenate([who, slots[good]]), np.concatenate([cosine, acc[good]])
+            best = np.lexsort((self.turn[who], -cosine))[: self.k]
+            who, cosine = who[best], cosine[best]
+        return who, cosine
+
     def neighbours(self, ids: tuple[int, ...], w: np.ndarray, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest, exactly."""
         return self.nearest([(np.array(ids, np.int64), w)], None if skip is None else [skip])[0]
@@ -129,6 +176,13 @@ class Model:
         return float(np.interp(vote, self.cuts, self.values))
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one range after the other, and how many each has."""
+    size = end - start
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size), size
+
+
 def _counts(text: str, terms: dict[str, int]) -> Counter:
     return Counter(terms[t] for w in LETTERS.findall(text.lower()) for t in terms_of(w) if t in terms)
 
@@ -192,8 +246,13 @@ def learn(rows: list[tuple], k: int = 15, floor: float = 0.02, half_g: float = 3
             for d in "45" if not w[0].isdigit() else "":
                 if len(w) > int(d) and toxic[i] >= 0.8 * toxic[terms[d + w[: int(d)]]]:
                     lean[terms[d + w[: int(d)]]] = 0
-    m = Model(terms, np.log1p(len(rows) / df) * (floor + lean), y, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), float(y.mean()) if len(y) else 0.0, 0.0, np.array([0.0, 1.0]), np.array([0.0, 1.0]), k, np.array([r[2] for r in rows], np.int64))
+    m = Model(terms, np.log1p(len(rows) / df) * (floor + lean), y, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), float(y.mean()) if len(y) else 0.0, 0.0, np.array([0.0, 1.0]), np.array([0.0, 1.0]), k, np.array([r[2] for r in rows], np.int64), np.arange(len(rows)))
     vectors = [(ids, m.weighted(ids, counts)) for ids, counts in own]
+    # alike examples share a block: by the strongest term, then by its weight
+    strong = [int(np.argmax(w)) if len(w) else -1 for _, w in vectors]
+    m.turn = np.lexsort(([-w[i] if i >= 0 else 0.0 for (_, w), i in zip(vectors, strong)], [ids[i] if i >= 0 else -1 for (ids, _), i in zip(vectors, strong)])) if vectors else m.turn
+    vectors, y = [vectors[i] for i in m.turn], y[m.turn]
+    m.labels, m.ids = y, m.ids[m.turn]
     empty = np.array([not len(ids) for ids, _ in vectors], bool)
     if vectors:
         flat = np.concatenate([ids for ids, _ in vectors])

@@ -93,6 +93,31 @@ def test_toxicity_neighbours_are_exact(spark):
     assert toxicity.learn([]).base == 0.0
 
 
+def test_toxicity_skips_blocks_and_loses_no_neighbour(monkeypatch):
+    rng = random.Random(5)
+    bad = ["vile", "awful", "rotten", "nasty"]
+    rows = [(prose(rng, rng.randint(1, 40)) + "".join(" " + rng.choice(bad) for _ in range(i % 3)), int(i % 3 > 0)) for i in range(900)] + [("", 0), ("same words here", 0), ("same words here", 1)]
+    m = toxicity.learn(rows)
+    dense = np.zeros((len(m.labels), len(m.terms)))
+    for t, (who, weight, _) in enumerate(m.postings):
+        dense[who, t] = weight
+    asked = [toxicity.Scorer(m)._read(x) for x in [r[0] for r in rows[::9]] + ["vile", "unknownword", "same words here", " ".join(bad), prose(rng, 3000)]]
+    asked = [x for x in asked if len(x[0])]
+    compared = []
+    bincount = np.bincount
+    monkeypatch.setattr(toxicity.np, "bincount", lambda x, w, n: compared.append(n) or bincount(x, w, n))
+    got = m.nearest(asked)
+    monkeypatch.undo()
+    n = -(-len(m.labels) // toxicity.BLOCK)
+    assert sum(compared) - n * len(asked) < 0.9 * toxicity.BLOCK * n * len(asked)  # bounds of all blocks, then the examples of some
+    for (ids, w), (who, cosine) in zip(asked, got):
+        q = np.zeros(len(m.terms))
+        q[ids] = w
+        full = np.round(dense @ q, 12)
+        best = sorted((j for j in range(len(full)) if full[j] >= 1e-12), key=lambda j: (-full[j], m.turn[j]))[: m.k]
+        assert who.tolist() == best and np.allclose(cosine, full[best])
+
+
 def test_toxicity_keeps_terms_of_every_support(spark):
     rng = random.Random(6)
     rows = [(prose(rng, 30), i % 2) for i in range(60)]  # no word leans far to a class
@@ -325,7 +350,7 @@ def test_toxicity_query_by_brute_force_and_evidence(spark):
         ids, w = m.vector(counts)
         q[list(ids)] = w
         cosine = np.round(dense @ q, 12)
-        best = sorted((j for j in range(len(cosine)) if cosine[j] > 1e-12), key=lambda j: (-cosine[j], j))[: m.k]
+        best = sorted((j for j in range(len(cosine)) if cosine[j] > 1e-12), key=lambda j: (-cosine[j], m.ids[j]))[: m.k]
         weight = 1 / (1.05 - np.minimum(cosine[best], 1.0))
         vote = ((weight * m.labels[best]).sum() + m.base) / (weight.sum() + 1)
         assert [where[e.doc_id] for e in r.evidence] == best and r.score == pytest.approx(float(np.interp(vote, m.cuts, m.values)))
