@@ -9,7 +9,7 @@ from codeloom.functions import taxonomy as tx
 from codeloom.functions import text as fx
 from codeloom.operators import accounting as ac
 from codeloom.operators import graph as g
-from codeloom.plans import catalog, finding_queries, graph_queries, review_queries, verification_queries, entry_queries, investigation_queries, report_queries, source_queries, hierarchy_queries, table_function_queries, search_queries, code_queries, reply_queries  # noqa: F401
+from codeloom.plans import catalog, finding_queries, graph_queries, review_queries, verification_queries, entry_queries, investigation_queries, report_queries, source_queries, hierarchy_queries, table_function_queries, search_queries, code_queries, reply_queries, index_queries  # noqa: F401
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
