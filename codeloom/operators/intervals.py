@@ -14,62 +14,82 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators import prefix
+from codeloom.operators.graph import _checkpointed
 
-LEVELS = 63
+FEW_FILES = 100_000  # names of so many files are sent to every task
+MOST_SENT = 250_000  # and so many distinct keys, of about 100 bytes
+
+
+def _pair(start: Column, end: Column, level: Column) -> Column:
+    """The blocks of a level, two at most, in the tiling of [start, end]; a null block where there is none."""
+    shifted = lambda x: F.call_function("shiftright", x, level)
+    left, right = -shifted(-start.cast("long")), shifted(end.cast("long") + 1)  # the level's whole blocks: left to right - 1
+    odd = lambda x: (left < right) & (x.bitwiseAND(1) == 1)
+    held = lambda x, block: F.struct(level.cast("int").alias("level"), F.when(odd(x), block).alias("block"))
+    return F.array(held(left, left), held(right, right - 1))
+
+
+def _levels(start: Column, end: Column) -> Column:
+    """0 to the level of the greatest block that the range can hold."""
+    return F.sequence(F.lit(0), F.length(F.bin(F.greatest(end.cast("long") - start.cast("long") + 1, F.lit(1)))) - 1)
 
 
 def blocks(start: Column, end: Column) -> Column:
     """array of (level, block) that tile [start, end]."""
-    kind = "array<struct<level:int,block:long>>"
-    begin = F.struct(start.cast("long").alias("l"), (end.cast("long") + 1).alias("r"), F.array().cast(kind).alias("out"))
+    return F.when(start <= end, F.filter(F.flatten(F.transform(_levels(start, end), lambda level: _pair(start, end, level))), lambda x: x["block"].isNotNull()))
+
+
+def cut(ranges: DataFrame) -> DataFrame:
+    """ranges (start, end, ...) with a row for each of their `blocks`: rows are dealt by level first, so that the arithmetic is compiled."""
+    start, end = F.col("start"), F.col("end")
+    each = ranges.where(start <= end).select("*", F.explode(_levels(start, end)).alias("_level"))
+    return each.select(*ranges.columns, F.inline(_pair(start, end, F.col("_level")))).where("block IS NOT NULL")
 
-    def step(acc: Column, level: Column) -> Column:
-        left, right = acc["l"], acc["r"]
-        low, high = (left < right) & (left.bitwiseAND(1) == 1), (left < right) & (right.bitwiseAND(1) == 1)
-        block = lambda x: F.array(F.struct(level.cast("int").alias("level"), x.cast("long").alias("block")))
-        out = F.concat(acc["out"], F.when(low, block(left)).otherwise(F.array().cast(kind)), F.when(high, block(right - 1)).otherwise(F.array().cast(kind)))
-        return F.struct(F.shiftright(left + F.when(low, 1).otherwise(0), 1).alias("l"), F.shiftright(right - F.when(high, 1).otherwise(0), 1).alias("r"), out.alias("out"))
 
-    # as many levels as the length has bits, and one
-    bits = F.length(F.bin(F.greatest(end.cast("long") - start.cast("long") + 1, F.lit(1)))).cast("int") + 1
-    return F.when(start <= end, F.aggregate(F.sequence(F.lit(0), F.least(bits, F.lit(LEVELS))), begin, step, lambda acc: acc["out"]))
+def of_files(ranges: DataFrame, lines: DataFrame, few: int = FEW_FILES) -> DataFrame:
+    """The ranges of files that lines have; of more than a few files all ranges, which the joins sort out."""
+    files = lines.select("file").where("file IS NOT NULL").distinct()
+    return ranges.join(F.broadcast(files), "file", "left_semi") if files.limit(few + 1).count() <= few else ranges.where("file IS NOT NULL")
 
 
-def range_keys(ranges: DataFrame, start: str, end: str) -> DataFrame:
-    """Distinct file, start, end and a row for each of its blocks."""
-    return ranges.select("file", F.col(start).alias("start"), F.col(end).alias("end")).where("file IS NOT NULL").distinct().select("*", F.inline(blocks(F.col("start"), F.col("end"))))
+def joined(rows: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """rows joined with few or many distinct keys: a few go to every task, so that rows are not shuffled and no hot key meets in one."""
+    other = _checkpointed(other)
+    return rows.join(F.broadcast(other) if other.count() <= MOST_SENT else other, keys, how)
 
 
-def line_keys(lines: DataFrame, line: str, levels: list[int]) -> DataFrame:
-    """Distinct file, line and a row for each level that some range has."""
+def line_keys(lines: DataFrame, line: str, ranges: DataFrame) -> DataFrame:
+    """Distinct file, line and a row for each level that a block of the ranges (start, end) can have."""
+    longest = ranges.where("start <= end").agg(F.max(F.col("end").cast("long") - F.col("start").cast("long") + 1)).first()[0]
     at = lines.select("file", F.col(line).cast("long").alias("line")).where("file IS NOT NULL AND line IS NOT NULL").distinct()
-    held = F.array(*(F.struct(F.lit(x).alias("level"), F.shiftright("line", x).alias("block")) for x in levels)) if levels else F.array().cast("array<struct<level:int,block:long>>")
+    held = F.array(*(F.struct(F.lit(x).alias("level"), F.shiftright("line", x).alias("block")) for x in range(longest.bit_length()))) if longest else F.array().cast("array<struct<level:int,block:long>>")
     return at.select("*", F.inline(held))
 
 
-def levels_of(keys: DataFrame) -> list[int]:
-    return sorted(keys.agg(F.collect_set("level")).first()[0])
+def distinct_ranges(ranges: DataFrame, lines: DataFrame, start: str, end: str) -> DataFrame:
+    """Distinct (file, start, end) of the files that lines have, written once: what the joins below read."""
+    return _checkpointed(of_files(ranges, lines).select("file", F.col(start).alias("start"), F.col(end).alias("end")).where("start <= end").distinct())
 
 
-def ranges_hit(ranges: DataFrame, lines: DataFrame, start: str, end: str, line: str) -> DataFrame:
-    """Distinct (file, start, end) that hold some line of their file."""
-    keys = range_keys(ranges, start, end)
-    met = line_keys(lines, line, levels_of(keys)).select("file", "level", "block").distinct()
-    return keys.join(met, ["file", "level", "block"], "left_semi").select("file", "start", "end").distinct()
+def ranges_hit(ranges: DataFrame, lines: DataFrame, line: str) -> DataFrame:
+    """The distinct ranges (file, start, end) that hold some line of their file."""
+    met = line_keys(lines, line, ranges).select("file", "level", "block").distinct()
+    return cut(ranges).join(met, ["file", "level", "block"], "left_semi").select("file", "start", "end").distinct()
 
 
-def lines_hit(lines: DataFrame, ranges: DataFrame, line: str, start: str, end: str) -> DataFrame:
-    """Distinct (file, line) that lie in some range of their file."""
-    keys = range_keys(ranges, start, end)
-    met = keys.select("file", "level", "block").distinct()
-    return line_keys(lines, line, levels_of(keys)).join(met, ["file", "level", "block"], "left_semi").select("file", "line").distinct()
+def lines_hit(lines: DataFrame, ranges: DataFrame, line: str) -> DataFrame:
+    """Distinct (file, line) that lie in some of the distinct ranges (file, start, end) of their file."""
+    met = cut(ranges).select("file", "level", "block").distinct()
+    return line_keys(lines, line, ranges).join(met, ["file", "level", "block"], "left_semi").select("file", "line").distinct()
 
 
 def first_range(lines: DataFrame, ranges: DataFrame, line: str, start: str, end: str, ordinal: str, value: str) -> DataFrame:
-    """(file, line, value) of each line's first range by `ordinal`: a block keeps only its first, so nothing grows with the ranges that pile up on it."""
-    cut = ranges.where("file IS NOT NULL").select("file", F.inline(blocks(F.col(start), F.col(end))), F.struct(F.col(ordinal).alias("o"), F.col(value).alias("v")).alias("first"))
-    best = cut.groupBy("file", "level", "block").agg(F.min("first").alias("first"))
-    met = line_keys(lines, line, levels_of(best)).join(best, ["file", "level", "block"])
+    """(file, line, value) of each line's first range by `ordinal`: equal ranges keep only their first before they are cut, and so
+    does a block, so nothing grows with the ranges that pile up on it."""
+    own = of_files(ranges, lines).select("file", F.col(start).alias("start"), F.col(end).alias("end"), F.struct(F.col(ordinal).alias("o"), F.col(value).alias("v")).alias("first"))
+    own = _checkpointed(own.where("start <= end").groupBy("file", "start", "end").agg(F.min("first").alias("first")))
+    best = cut(own).groupBy("file", "level", "block").agg(F.min("first").alias("first"))
+    met = line_keys(lines, line, own).join(best, ["file", "level", "block"])
     return met.groupBy("file", "line").agg(F.min("first").alias("first")).select("file", "line", F.col("first.v").alias("value"))
 
 

@@ -144,3 +144,16 @@ def test_closure_of_several_bases_and_cycles(spark):
     edges = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("x", "y"), ("y", "x"), ("z", None)]
     got = {tuple(r) for r in ih.inherit_closure(spark.createDataFrame(edges, "node string, base string")).collect()}
     assert got == {("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("a", "d"), ("a", "e"), ("b", "e"), ("c", "e"), ("x", "y"), ("y", "x"), ("x", "x"), ("y", "y")}
+
+
+def test_ranges_are_cut_once_and_only_in_files_with_lines(spark):
+    """5,000 equal ranges of a hot file are one, ranges of files without a line are none, whether the files are sent or not."""
+    units = spark.range(15_000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('cold', id)) AS file", "3 AS start", "9 AS end")
+    lines = spark.createDataFrame([("hot", 4, 5), ("hot", 4, 4), ("none", 3, 3), (None, 1, 1)], "file string, a int, b int")
+    assert [tuple(r) for r in iv.distinct_ranges(units, lines, "start", "end").collect()] == [("hot", 3, 9)]
+    assert iv.of_files(units, lines, 1).count() == 15_000 and iv.of_files(units, lines, 2).count() == 5_000
+    assert [tuple(r) for r in iv.first_range(lines, units, "a", "start", "end", "id", "id").collect()] == [("hot", 4, 0)]
+    assert ac.overlapping(units, lines, 0).count() == ac.containing_an_end(units, lines, 0).count() == 5_000
+    cut = iv.cut(spark.createDataFrame([(3, 9), (9, 3), (None, 1), (-5, 2**40)], "start long, end long"))
+    want = cut.select("start", "end").distinct().select("start", "end", F.inline(iv.blocks(F.col("start"), F.col("end"))))
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, want.collect())) and cut.count() > 40
