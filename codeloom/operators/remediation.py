@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators import intervals as iv
+
 
 def resolved_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """rel, path, how for distinct paths `rel` of wanted against the column path of files.
@@ -21,18 +23,15 @@ def resolved_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("rel", F.when(F.col("exact"), F.col("rel")).when(F.col("n") == 1, F.col("only")).alias("path"), how.alias("how"))
 
 
-LINE_BLOCK = 64
-
-
 def innermost(hits: DataFrame, symbols: DataFrame) -> DataFrame:
-    """hit_id, symbol: the shortest symbol (file, symbol, start, end) whose lines hold the hit (hit_id, file, line); ties by name.
-
-    They meet by file and block of lines, so a long file is many keys."""
-    block = lambda c: F.floor(F.col(c) / LINE_BLOCK)
-    spread = symbols.where("start <= end").withColumn("block", F.explode(F.sequence(block("start"), block("end"))))
-    met = hits.withColumn("block", block("line")).join(spread, ["file", "block"]).where("line BETWEEN start AND end")
-    best = met.groupBy("hit_id").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("span"), "symbol")).alias("m"))
-    return hits.select("hit_id").join(best, "hit_id", "left").select("hit_id", F.col("m.symbol").alias("symbol"))
+    """hit_id, symbol: the shortest symbol (file, symbol, start, end) whose lines hold the hit (hit_id, file, line); ties by name, a null one last.
+
+    Equal places are looked up once, and equal ranges and blocks of lines keep only their first symbol,
+    so neither the hits of a line nor the symbols that pile up on it multiply."""
+    rank = F.struct((F.col("end") - F.col("start")).alias("span"), F.col("symbol").isNull().alias("unnamed"), "symbol")
+    first = iv.first_range(hits, symbols.withColumn("rank", rank), "line", "start", "end", "rank", "symbol")
+    asked = hits.select("hit_id", "file", F.col("line").cast("long").alias("line"))
+    return iv.joined(asked, first, ["file", "line"], "left").select("hit_id", F.col("value").alias("symbol"))
 
 
 def impact(usages: DataFrame, hints: str = "(^|/)(routes?|views?|handlers?|controllers?|api|cli|main)(/|\\.|$)") -> DataFrame:

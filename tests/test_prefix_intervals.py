@@ -157,3 +157,28 @@ def test_ranges_are_cut_once_and_only_in_files_with_lines(spark):
     cut = iv.cut(spark.createDataFrame([(3, 9), (9, 3), (None, 1), (-5, 2**40)], "start long, end long"))
     want = cut.select("start", "end").distinct().select("start", "end", F.inline(iv.blocks(F.col("start"), F.col("end"))))
     assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, want.collect())) and cut.count() > 40
+
+
+def test_innermost_symbols(spark):
+    from codeloom.operators import remediation as rm
+
+    rng = random.Random(8)
+    symbols = [(rng.choice("hhha") if i else None, rng.choice((None, f"s{i % 9}")), s := rng.randrange(-20, 90), s + rng.choice((-1, 0, 3, 40))) for i in range(70)] + [("h", "twin", 10, 60), ("h", "also", 10, 60), ("h", "x", None, 9)]
+    hits = [(i % 50, rng.choice("hhaz"), rng.randrange(-25, 130)) for i in range(90)] + [(7, None, 3), (8, "h", None)]
+    got = rm.innermost(spark.createDataFrame(hits, "hit_id int, file string, line int"), spark.createDataFrame(symbols, "file string, symbol string, start int, end int")).collect()
+    holding = lambda f, x: [(b - a, n is None, n or "", n) for g, n, a, b in symbols if None not in (f, x, g, a) and f == g and a <= x <= b]
+    text = lambda rows: sorted(rows, key=repr)
+    assert text(tuple(r) for r in got) == text((i, min(held)[3] if (held := holding(f, x)) else None) for i, f, x in hits)
+
+
+def test_piled_up_ranges_and_hits_do_not_multiply(spark):
+    """20,000 hits on a line which 20,000 symbols hold: by pairs, 400 million rows."""
+    import time
+
+    from codeloom.operators import remediation as rm
+
+    hits = spark.range(20_000).selectExpr("id AS hit_id", "'f' AS file", "id % 3 AS line")
+    symbols = spark.range(20_000).selectExpr("'f' AS file", "concat('s', id) AS symbol", "id % 2 - 1 AS start", "9 + id % 5 AS end")
+    began = time.time()
+    assert {(r.line, r.symbol) for r in rm.innermost(hits, symbols).join(hits, "hit_id").select("line", "symbol").distinct().collect()} == {(x, "s10005") for x in range(3)}
+    assert time.time() - began < 60
