@@ -70,14 +70,21 @@ def containing_an_end_by_path(units: DataFrame, found: DataFrame) -> DataFrame:
     return containing_an_end(units, found.select("path", "a", "b").distinct().join(iv.first_file(found, files), "path").select("file", "a", "b"))
 
 
-def diff_selected(units: DataFrame, changed: DataFrame, hunks: DataFrame) -> DataFrame:
-    """units with diff_selected: an unchanged file is out, missing lines are in, else by overlap."""
-    files = changed.select("file").distinct().withColumn("_changed", F.lit(True))
-    hit = overlapping(units, hunks).select("id").distinct().withColumn("_hit", F.lit(True))
-    out = units.join(files, "file", "left").join(hit, "id", "left")
-    in_file = F.coalesce("_changed", F.lit(False))
-    chosen = in_file & (F.col("start").isNull() | F.col("end").isNull() | F.coalesce("_hit", F.lit(False)))
-    return out.withColumn("diff_selected", chosen).drop("_changed", "_hit")
+def diff_selected(units: DataFrame, changed: DataFrame, hunks: DataFrame, few: int = FEW_RANGES) -> DataFrame:
+    """units with diff_selected: an unchanged file is out, missing lines are in, else by overlap of the unit's own lines.
+
+    Few hunks are one row a file, sent to every task: units are then only read."""
+    files = changed.select("file").where("file IS NOT NULL").distinct().withColumn("_changed", F.lit(True))
+    out = iv.joined(units, files, ["file"], "left")
+    hunks = hunks.select("file", "a", "b").where("a <= b")
+    if _few(hunks, few):
+        spans = F.broadcast(hunks.groupBy("file").agg(F.collect_list(F.struct("a", "b")).alias("_spans")))
+        meets = (F.col("start") <= F.col("end")) & F.exists("_spans", lambda h: (F.col("start") <= h["b"]) & (F.col("end") >= h["a"]))
+        out = out.join(spans, "file", "left").withColumn("_hit", meets).drop("_spans")
+    else:
+        out = iv.joined(out, _meeting(units, hunks).withColumn("_hit", F.lit(True)), ["file", "start", "end"], "left")
+    chosen = F.coalesce("_changed", F.lit(False)) & (F.col("start").isNull() | F.col("end").isNull() | F.coalesce("_hit", F.lit(False)))
+    return out.select(*units.columns, chosen.alias("diff_selected"))
 
 
 def merge_last_result(findings: DataFrame, tests: DataFrame, guard: str) -> DataFrame:

@@ -182,3 +182,15 @@ def test_piled_up_ranges_and_hits_do_not_multiply(spark):
     began = time.time()
     assert {(r.line, r.symbol) for r in rm.innermost(hits, symbols).join(hits, "hit_id").select("line", "symbol").distinct().collect()} == {(x, "s10005") for x in range(3)}
     assert time.time() - began < 60
+
+
+def test_hunks_mark_units_by_their_own_lines(spark):
+    """Units that share an id are judged by their own lines, with few and with many hunks."""
+    units = spark.createDataFrame([(1, "a", 1, 2), (1, "a", 5, 9), (2, "a", None, 4), (3, "c", 1, 9), (4, None, 1, 2), (5, "b", None, None), (6, "a", 9, 8)], "id int, file string, start int, end int")
+    changed = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "file string")
+    hunks = spark.createDataFrame([("a", 6, 7), ("a", 6, 7), ("a", 3, 2), ("c", 2, 2), (None, 1, 2)], "file string, a int, b int")
+    want = sorted([(1, 1, False), (1, 5, True), (2, None, True), (3, 1, False), (4, 1, False), (5, None, True), (6, 9, False)], key=repr)
+    for few in (0, 1000):
+        out = ac.diff_selected(units, changed, hunks, few)
+        assert out.columns == ["id", "file", "start", "end", "diff_selected"]
+        assert sorted(((r.id, r.start, r.diff_selected) for r in out.collect()), key=repr) == want
