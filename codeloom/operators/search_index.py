@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MOST_QUERY_GRAMS = 200_000
+POSTINGS_A_TASK = 2_000_000  # about 150 MB while they are sorted
+CHARS_A_TASK = 16 << 20
 
 
 def grams(text: Column) -> Column:
@@ -33,6 +35,11 @@ class Index:
     counts: DataFrame
 
 
+def _tasks(spark: SparkSession, size: int | None, each: int) -> int:
+    """So many tasks that each gets about `each`, and no fewer than a shuffle has: a task's memory does not grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // each))
+
+
 def build(texts: DataFrame, path: str, pieces: int = 1 << 16) -> Index:
     """The index of texts (node, text) below `path`; null nodes and texts are left out, several texts of a node are searched each.
 
@@ -40,13 +47,13 @@ def build(texts: DataFrame, path: str, pieces: int = 1 << 16) -> Index:
     no row holds more than a piece's grams."""
     spark = texts.sparkSession
     rows = texts.select("node", "text").where("node IS NOT NULL AND text IS NOT NULL")
-    rows.repartition("node").write.mode("overwrite").parquet(f"{path}/texts")
+    rows.repartition(_tasks(spark, rows.agg(F.sum(F.length("text").cast("long"))).first()[0], CHARS_A_TASK), "node").write.mode("overwrite").parquet(f"{path}/texts")
     held = spark.read.schema(rows.schema).parquet(f"{path}/texts")
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(pieces))
     cut = held.select("node", F.explode(F.transform(starts, lambda i: F.substr(F.col("text"), i + 1, F.lit(pieces + 2)))).alias("piece"))
     cut.select("node", F.explode(grams(F.col("piece"))).alias("gram")).write.mode("overwrite").parquet(f"{path}/found")
     found = spark.read.schema("node " + held.schema["node"].dataType.simpleString() + ", gram string").parquet(f"{path}/found")
-    found.repartitionByRange("gram", "node").sortWithinPartitions("gram", "node").write.mode("overwrite").parquet(f"{path}/postings")
+    found.repartitionByRange(_tasks(spark, found.count(), POSTINGS_A_TASK), "gram", "node").sortWithinPartitions("gram", "node").write.mode("overwrite").parquet(f"{path}/postings")
     postings = spark.read.schema(found.schema).parquet(f"{path}/postings")
     # a gram that two pieces of a text hold is counted twice: counts only order the grams
     postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/counts")
@@ -58,16 +65,19 @@ def load(spark: SparkSession, path: str) -> Index:
 
 
 def candidates(index: Index, queries: DataFrame, rarest: int = 4) -> DataFrame:
-    """(query, node) whose texts hold the `rarest` trigrams of the query's literal; of queries without a trigram nothing."""
+    """(query, node) whose texts hold the `rarest` (at most 63) trigrams of the query's literal; of queries without a trigram nothing."""
     asked = queries.select("query", F.explode(grams(F.col("literal"))).alias("gram"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.coalesce("n", F.lit(0)), "gram"))
     best = asked.join(index.counts, "gram", "left").withColumn("place", rank).where(F.col("place") <= rarest)
     # a gram that no text holds ends its query
     need = best.groupBy("query").agg(F.count(F.lit(1)).alias("need"), F.min(F.coalesce("n", F.lit(0))).alias("least")).where("least > 0").drop("least")
-    terms = best.join(need, "query").select("query", "gram", "need")
-    terms = F.broadcast(terms) if terms.count() <= MOST_QUERY_GRAMS else terms
-    met = index.postings.join(terms, "gram")
-    return met.groupBy("query", "node").agg(F.count_distinct("gram").alias("n"), F.first("need").alias("need")).where("n = need").select("query", "node")
+    terms = best.join(need, "query").select("query", "gram", "need", "n", F.expr("shiftleft(1L, place - 1)").alias("bit"))
+    count, rows = terms.agg(F.count(F.lit(1)), F.sum("n")).first()
+    terms = terms.drop("n")
+    terms = F.broadcast(terms) if count <= MOST_QUERY_GRAMS else terms
+    # a bit a gram, so that a gram which two pieces of a text hold counts once
+    met = index.postings.join(terms, "gram").select("query", "node", "need", "bit").repartition(_tasks(index.postings.sparkSession, rows, POSTINGS_A_TASK), "query", "node")
+    return met.groupBy("query", "node").agg(F.bit_or("bit").alias("bits"), F.first("need").alias("need")).where(F.bit_count("bits") == F.col("need")).select("query", "node")
 
 
 def search(index: Index, queries: DataFrame, shown: Column | None = None) -> DataFrame:
@@ -77,7 +87,8 @@ def search(index: Index, queries: DataFrame, shown: Column | None = None) -> Dat
     """
     q = queries.select("query", "literal", "pattern").where("literal IS NOT NULL")
     short = F.length(F.lower("literal")) < 3
-    met = candidates(index, q.where(~short)).join(q, "query").join(index.texts, "node")
+    tasks = _tasks(index.texts.sparkSession, index.texts.agg(F.sum(F.length("text").cast("long"))).first()[0], CHARS_A_TASK)
+    met = candidates(index, q.where(~short)).join(q, "query").repartition(tasks, "node").join(index.texts.repartition(tasks, "node"), "node")
     if not q.where(short).isEmpty():
         met = met.unionByName(index.texts.join(F.broadcast(q.where(short)), F.contains("text", "literal") | F.col("pattern").isNotNull()).select(met.columns))
     hit = F.when(F.col("pattern").isNull(), F.contains("text", "literal")).otherwise(F.regexp_like("text", "pattern"))

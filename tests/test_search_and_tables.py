@@ -61,3 +61,18 @@ def test_signals_in_batches(spark):
     tf.register_signals(spark, provider, 2, "small_signals")
     units.createOrReplaceTempView("t_units")
     assert spark.sql("SELECT max(call) AS c FROM small_signals(TABLE(SELECT * FROM t_units WHERE bucket = 'a') PARTITION BY bucket ORDER BY unit_id)").first().c == 29
+
+
+def test_index_tasks_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """Postings and joined texts are dealt to more tasks as they grow, and a gram of two pieces counts once."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(si, "POSTINGS_A_TASK", 200)
+    monkeypatch.setattr(si, "CHARS_A_TASK", 400)
+    texts = [(i, f"text {i} of {i * i} needle{i % 3}") for i in range(150)] + [(900, "needl" + "x" * 70_000 + "eedle1")]
+    index = si.build(spark.createDataFrame(texts, "node long, text string"), str(tmp_path / "g"))
+    sizes = [r.n for r in index.postings.groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 8 and max(sizes) < 800
+    queries = spark.createDataFrame([("q", "needle1", None), ("r", "text 7", None)], "query string, literal string, pattern string")
+    found = si.search(index, queries)
+    assert sorted(map(tuple, found.collect())) == sorted((q, n) for q, lit in (("q", "needle1"), ("r", "text 7")) for n, t in texts if lit in t)
