@@ -48,12 +48,27 @@ EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 Parsed = tuple[np.ndarray, list[str | None], np.ndarray, np.ndarray]
 
 
-class Templates:
-    """Words to template hashes and slot values; what a word gives is remembered up to a bound."""
+class Templates(dict):
+    """Words to template hashes and slot values; what a word gives is remembered up to a bound.
+
+    As a dict: each known word's place in the arrays of what words give, so that a text's places are
+    looked up without a step of Python a word, and the rest is arithmetic on arrays."""
 
     def __init__(self, bound: int = 300_000):
-        self.bound, self.known = bound, {}
+        super().__init__()
+        self.bound = bound
         self.num, self.unit, self.name = (xxhash.xxh3_64_intdigest(x) for x in (b"\x00num", b"\x00unit", b"\x00name"))
+        self.values: list[str] = []
+        self.hashes, self.kinds, self.ends = np.empty(1024, np.uint64), np.empty(1024, np.uint64), np.empty(1024, bool)
+
+    def __missing__(self, raw: bytes) -> int:
+        at = len(self.values)
+        if at == len(self.hashes):
+            self.hashes, self.kinds, self.ends = (np.concatenate([x, np.empty_like(x)]) for x in (self.hashes, self.kinds, self.ends))
+        self.hashes[at], value, self.kinds[at], self.ends[at] = self._word(raw)
+        self.values.append(value)
+        self[raw] = at
+        return at
 
     def _word(self, raw: bytes) -> tuple[int, str, int, bool]:
         """hash, value, hash of the placeholder that it may be (0: none), ends a sentence."""
@@ -71,28 +86,23 @@ class Templates:
             kind = self.name
         return (xxhash.xxh3_64_intdigest((low or text).encode()), low, kind, ends)
 
-    def of(self, text: bytes) -> Parsed:
-        """Template hashes, slot values, which tokens are placeholders, and the words' own hashes (stripped, lower-cased)."""
+    def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Template hashes, which tokens are placeholders, the words' own hashes (stripped, lower-cased), and the places of their values."""
         words = text.split()
-        if len(self.known) > self.bound:
-            self.known.clear()
-        known, word, start, counted = self.known, self._word, True, False
-        num, unit, name = self.num, self.unit, self.name
-        out, slots, plain = [], [], []
-        for w in words:
-            x = known.get(w)
-            if x is None:
-                x = known[w] = word(w)
-            h, low, kind, ends = x
-            plain.append(h)
-            if kind and (kind == num or kind == name and not start or kind == unit and counted):
-                out.append(kind)
-                slots.append(low)
-            else:
-                out.append(h)
-                slots.append(None)
-            start, counted = ends, kind == num
-        return np.array(out, np.uint64), slots, np.array([s is not None for s in slots], bool), np.array(plain, np.uint64)
+        if len(self) > self.bound:
+            self.clear()
+            self.values.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        plain, kind, ends = self.hashes[at], self.kinds[at], self.ends[at]
+        num = kind == np.uint64(self.num)
+        after_end, after_num = np.concatenate([[True], ends[:-1]])[: len(at)], np.concatenate([[False], num[:-1]])[: len(at)]
+        held = num | (kind == np.uint64(self.name)) & ~after_end | (kind == np.uint64(self.unit)) & after_num
+        return np.where(held, kind, plain), held, plain, at
+
+    def of(self, text: bytes) -> Parsed:
+        """Template hashes, slot values, which tokens are placeholders, and the words' own hashes."""
+        h, held, plain, at = self.read(text)
+        return h, [self.values[i] if x else None for i, x in zip(at.tolist(), held.tolist())], held, plain
 
 
 def heavy_windows(held: np.ndarray, width: int) -> np.ndarray:
@@ -111,7 +121,7 @@ def window_keys(text: bytes, t: Templates, sizes: tuple[int, ...]) -> tuple[np.n
 
     A name at the start of a window may be the plain first word of an item, so such windows have a
     second hash."""
-    h, _, held, plain = t.of(text)
+    h, held, plain, _ = t.read(text)
     keys, at = [], []
     for size in sizes:
         w = common.window_hashes(h, size)
@@ -170,7 +180,7 @@ def item_windows(items: DataFrame, width: int, least: int) -> DataFrame:
         t = Templates()
         for batch in batches:
             for item, text in zip(batch.column("item_key").to_pylist(), batch.column("text")):
-                h, _, held, plain = t.of(text.as_buffer().to_pybytes())
+                h, held, plain, _ = t.read(text.as_buffer().to_pybytes())
                 if len(h) < least:
                     continue
                 size = min(width, len(h))

@@ -455,3 +455,20 @@ def test_warc_null_ids_offsets_and_empty_table(spark):
     warc.write_archives(warc.with_record_types(pages.limit(0)), none)
     assert warc.merge_runs(warc.read_captures(spark, none)).count() == 0
     assert warc.records_per_file(pages.limit(0)) == 20_000
+
+
+def test_templates_are_the_same_after_forgetting_words():
+    """Words are looked up as arrays: what a text gives does not depend on which words were known before."""
+    from codeloom.llm import decontaminate as dc
+
+    texts = [b"", b"Anna ran 12 km. Bob ate 3,5 kg of m and Tom's (4) pies!", " ".join(f"Word{i} w{i} {i} cm" for i in range(700)).encode(), "Über \xff 7 %".encode("latin-1"), b"12"]
+    fresh = [dc.Templates().of(x) for x in texts]
+    few = dc.Templates(bound=5)
+    for _ in range(2):
+        for x, want in zip(texts, fresh):
+            got = few.of(x)
+            assert got[1] == want[1] and all(len(a) == len(b) and (a == b).all() for a, b in zip((got[0], *got[2:]), (want[0], *want[2:])))
+    t = dc.Templates()
+    h, slots, held, plain = t.of(texts[1])
+    assert slots == [None, None, "12", "km", None, None, "3,5", "kg", None, None, None, "tom's", "4", None] and [s is not None for s in slots] == held.tolist() and h[2] == t.num and plain[2] != t.num
+    assert all((a == b).all() for a, b in zip(t.read(texts[1])[:3], (h, held, plain)))
