@@ -6,7 +6,9 @@ texts travel as UTF-8 bytes, because ``bytes.split()`` cuts at exactly those six
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 
@@ -71,6 +73,12 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def trim() -> None:
+    """Gives memory that this Python process has freed back to the system; glibc keeps it otherwise, elsewhere nothing is done."""
+    if sys.platform == "linux" and (give := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        give(0)
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

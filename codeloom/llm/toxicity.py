@@ -23,6 +23,7 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +39,8 @@ from . import common
 
 LETTERS = re.compile(r"[^\W\d_]+")
 TOGETHER = 64  # texts of one dense product
+#: Words and texts that a scorer remembers at once, before it forgets them all; an idle worker keeps what they took.
+MOST_WORDS, MOST_TEXTS = 100_000, 10_000
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -166,20 +169,26 @@ def learn(rows: list[tuple], k: int = 15, floor: float = 0.02, half_g: float = 3
     rows = without_copies(rows)
     y = np.array([r[1] for r in rows], float)
     first: dict[str, int] = {}
-    own = []
+    ids, counts, ends = array("i"), array("i"), [0]  # of all rows, one after another: many small arrays would leave the driver's memory in pieces
     for text, *_ in rows:
-        ids = [first.setdefault(t, len(first)) for w in LETTERS.findall((text or "").lower()) for t in terms_of(w)]
-        own.append(np.unique(np.array(ids, np.int64), return_counts=True))
+        own = [first.setdefault(t, len(first)) for w in LETTERS.findall((text or "").lower()) for t in terms_of(w)]
+        for all_rows, part in zip((ids, counts), np.unique(np.array(own, np.int32), return_counts=True)):
+            all_rows.frombytes(part.astype(np.int32).tobytes())
+        ends.append(len(ids))
     names = sorted(first)
     terms = {t: i for i, t in enumerate(names)}
-    again = np.empty(len(first), np.int64)
-    again[[first[t] for t in names]] = np.arange(len(names))
+    again = np.empty(len(first), np.int32)
+    again[np.fromiter(map(first.get, names), np.int64, len(names))] = np.arange(len(names))
     del first
-    own = [(again[ids][o := np.argsort(again[ids])], counts[o]) for ids, counts in own]
+    ids, counts = again[np.frombuffer(ids, np.int32)], np.frombuffer(counts, np.int32).copy()
+    own = [slice(a, b) for a, b in zip(ends, ends[1:])]
+    for at in own:
+        o = np.argsort(ids[at])
+        ids[at], counts[at] = ids[at][o], counts[at][o]
     df, toxic = np.zeros(len(names)), np.zeros(len(names))
-    for (ids, _), label in zip(own, y):
-        df[ids] += 1
-        toxic[ids] += label
+    for at, label in zip(own, y):
+        df[ids[at]] += 1
+        toxic[ids[at]] += label
     lean = np.zeros(len(names))
     if y.any() and not y.all():
         part, clean = y.mean(), df - toxic
@@ -193,16 +202,20 @@ def learn(rows: list[tuple], k: int = 15, floor: float = 0.02, half_g: float = 3
                 if len(w) > int(d) and toxic[i] >= 0.8 * toxic[terms[d + w[: int(d)]]]:
                     lean[terms[d + w[: int(d)]]] = 0
     m = Model(terms, np.log1p(len(rows) / df) * (floor + lean), y, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), float(y.mean()) if len(y) else 0.0, 0.0, np.array([0.0, 1.0]), np.array([0.0, 1.0]), k, np.array([r[2] for r in rows], np.int64))
-    vectors = [(ids, m.weighted(ids, counts)) for ids, counts in own]
-    empty = np.array([not len(ids) for ids, _ in vectors], bool)
-    if vectors:
-        flat = np.concatenate([ids for ids, _ in vectors])
-        order = np.argsort(flat, kind="stable")
-        m.who = np.repeat(np.arange(len(rows), dtype=np.int32), [len(ids) for ids, _ in vectors])[order]
-        m.weight = np.concatenate([w for _, w in vectors])[order]
-        m.starts = np.searchsorted(flat[order], np.arange(len(names) + 1))
+    weight = np.empty(len(ids))
+    for at in own:
+        weight[at] = m.weighted(ids[at], counts[at])
+    sizes = np.diff(ends)
+    empty = sizes == 0
+    if len(rows):
+        order = np.argsort(ids, kind="stable")
+        m.who = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[order]
+        m.weight = weight[order]
+        m.starts = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(names)))])
+        del order
     known = np.flatnonzero(~empty)
-    found = m.nearest([vectors[d] for d in known], [int(d) for d in known])
+    found = m.nearest([(ids[own[d]], weight[own[d]]) for d in known], [int(d) for d in known])
+    m.__dict__.pop("dense", None)  # the executors make their own
     votes = [(m.vote(*x), y[d]) for d, x in zip(known, found)]
     if len({b for _, b in votes}) == 2:  # bins of equal counts, then made monotone by pooling
         votes.sort()
@@ -245,7 +258,7 @@ class Scorer:
         for w in LETTERS.findall(text.lower()):
             hit = kinds.get(w)
             if hit is None:
-                if len(kinds) > 400_000:
+                if len(kinds) >= MOST_WORDS:
                     kinds.clear()
                 hit = kinds[w] = tuple(terms[t] for t in terms_of(w) if t in terms)
             own += hit
@@ -257,7 +270,7 @@ class Scorer:
         for at in range(0, len(column), TOGETHER):
             texts = [x or "" for x in column.slice(at, TOGETHER).to_pylist()]
             keys = [xxhash.xxh3_128_digest(x.encode()) for x in texts]
-            if len(done) > 50_000:
+            if len(done) > MOST_TEXTS:
                 done.clear()
             new = {key: self._read(x) for key, x in dict(zip(keys, texts)).items() if key not in done}
             done |= {key: (m.base_empty, np.empty(0, np.int64), np.empty(0)) for key, (ids, _) in new.items() if not len(ids)}
@@ -299,11 +312,14 @@ def learned(docs: DataFrame, labels: DataFrame, max_examples: int = 6000) -> Mod
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows whose own text scores below 0.5, columns untouched, whatever their doc_id."""
     shared = docs.sparkSession.sparkContext.broadcast(learned(docs, labels))
+    common.trim()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
             yield batch.filter(pa.array([x[0] < 0.5 for x in scorer(batch.column("text"))], pa.bool_()))
+        del scorer
+        common.trim()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -7,6 +7,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,6 +307,20 @@ def test_words_of_code_switched_text(spark):
     assert language_id.label_spans(test, language_id.learn([])).where("size(spans) > 0").count() == 0
 
 
+def test_toxicity_remembers_few_words_and_no_dense_part(monkeypatch):
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(30))
+    model = toxicity.learn([(text(), i % 2) for i in range(60)])
+    assert "dense" not in vars(model)  # the driver keeps what it sends, no more
+    texts = pa.array([text() for _ in range(300)])
+    want = [x[0] for x in toxicity.Scorer(model)(texts)]
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 50)
+    monkeypatch.setattr(toxicity, "MOST_TEXTS", 20)
+    scorer = toxicity.Scorer(model)
+    assert [x[0] for x in scorer(texts)] == want
+    assert len(scorer.kinds) <= 50 and len(scorer.done) <= 20 + toxicity.TOGETHER
+
+
 def test_toxicity_query_by_brute_force_and_evidence(spark):
     rng = random.Random(13)
     rows = [(i, prose(rng, 25) + (" vile" if i % 3 == 0 else ""), i % 3 == 0) for i in range(150)]
