@@ -36,14 +36,26 @@ def inherited_calls(calls: DataFrame, chain_places: DataFrame, methods: DataFram
     `super` begins after the class itself; a null class (a receiver of no known type, a failed import)
     gives null, and never a method of the same name elsewhere.  methods: cls, method, id.
 
-    Equal (cls, method, is_super) are one row until the end, so that a receiver type which many calls
-    share is resolved once."""
-    own = methods.groupBy(F.col("cls").alias("above"), "method").agg(F.min("id").alias("id"))
-    wanted = calls.where("cls IS NOT NULL AND method IS NOT NULL").select("cls", "method", F.coalesce("is_super", F.lit(False)).alias("from_super")).distinct()
-    tried = wanted.join(chain_places, "cls").where(F.col("place") >= F.col("from_super").cast("int")).join(own, ["above", "method"])
-    found = tried.groupBy("cls", "method", "from_super").agg(F.min(F.struct("place", F.col("above").alias("defined_in"), "id")).alias("f"))
-    found = found.select("cls", "method", "from_super", "f.defined_in", "f.id")
-    return calls.withColumn("from_super", F.coalesce("is_super", F.lit(False))).join(found, ["cls", "method", "from_super"], "left").drop("from_super")
+    Equal (cls, method) are one row until the end, so that a receiver type which many calls share is
+    resolved once.  A class's own methods are looked up directly; only what they don't answer walks the
+    order behind the class, and classes with the same order behind them walk it once for all."""
+    own = methods.select("cls", "method", "id").groupBy("cls", "method").agg(F.min("id").alias("id"))
+    from_super = F.coalesce("is_super", F.lit(False))
+    wanted = calls.where("cls IS NOT NULL AND method IS NOT NULL").groupBy("cls", "method").agg(F.max(from_super).alias("up"))
+    wanted = wanted.join(own.withColumnRenamed("id", "own_id").withColumn("has", F.lit(True)), ["cls", "method"], "left")
+    orders = chain_places.groupBy("cls").agg(F.array_sort(F.collect_list(F.when(F.col("place") > 0, F.struct("place", "above")))).alias("behind"))
+    orders = orders.select("cls", "behind", *(F.when(F.size("behind") > 0, F.xxhash64(F.lit(i), "behind")).alias(f"t{i}") for i in (1, 2)))
+    asked = wanted.join(orders.select("cls", "t1", "t2"), "cls")
+    walks = F.col("up") | F.col("has").isNull()
+    tried = asked.where(walks & F.col("t1").isNotNull()).select("t1", "t2", "method").distinct()
+    lines = orders.where("t1 IS NOT NULL").groupBy("t1", "t2").agg(F.first("behind").alias("behind")).select("t1", "t2", F.explode("behind").alias("b")).select("t1", "t2", "b.place", F.col("b.above").alias("cls"))
+    behind = tried.join(lines, ["t1", "t2"]).join(own, ["cls", "method"]).groupBy("t1", "t2", "method").agg(F.min(F.struct("place", "cls", "id")).alias("b"))
+    key = [F.when(walks, F.col(t)).alias(t) for t in ("t1", "t2")]  # null meets nothing
+    found = asked.select("cls", "method", "has", "own_id", *key).join(behind, ["t1", "t2", "method"], "left").where("has OR b IS NOT NULL").select("cls", "method", "has", "own_id", "b")
+    out = calls.join(found, ["cls", "method"], "left")
+    at_class = ~from_super & F.col("has")
+    picked = {"defined_in": F.when(at_class, F.col("cls")).otherwise(F.col("b.cls")), "id": F.when(at_class, F.col("own_id")).otherwise(F.col("b.id"))}
+    return out.select("cls", "method", *(c for c in calls.columns if c not in ("cls", "method")), *(c.alias(n) for n, c in picked.items()))
 
 
 def nested_intervals(parents: DataFrame) -> DataFrame:

@@ -116,6 +116,28 @@ def test_receivers_and_super(spark):
     assert got == {1: "B.f", 2: "A.g", 3: "C.g", 4: "O.f", 5: None, 6: None, 7: "L.f", 8: "O.f"}
 
 
+def test_calls_walk_a_shared_order_once(spark):
+    """Forty classes with one order behind them: their calls meet that order once, not once a class."""
+    rng = random.Random(11)
+    chain = [f"b{i}" for i in range(25)]
+    orders = {f"c{i}": [f"c{i}", *chain] for i in range(40)} | {b: chain[i:] for i, b in enumerate(chain)} | {"odd": ["odd", "b3", "b7"], "lone": None}
+    methods = [(c, f"f{rng.randrange(30)}", f"id{i}") for i, c in enumerate(rng.choices([*orders, "gone"], k=60))] + [("lone", "f1", "x"), ("gone", "f2", "y"), ("b3", "f3", None)]
+    calls = [(i, rng.choice([*orders, "gone", None]), rng.choice([None, *(f"f{j}" for j in range(30))]), rng.choice([True, False, None])) for i in range(3000)]
+    places = ih.places(spark.createDataFrame(list(orders.items()), "node string, chain array<string>"))
+    out = ih.inherited_calls(spark.createDataFrame(calls, "call int, cls string, method string, is_super boolean"), places, spark.createDataFrame(methods, "cls string, method string, id string"))
+    own = {}
+    for c, f, i in methods:
+        own.setdefault((c, f), []).append(i)
+    want = {}
+    for call, c, f, up in calls:
+        line = [] if c not in orders else (orders[c] or [c])[1 if up else 0 :]
+        at = next((x for x in line if (x, f) in own), None)
+        want[call] = (at, min((i for i in own[at, f] if i is not None), default=None) if at else None)
+    assert {r.call: (r.defined_in, r.id) for r in out.collect()} == want
+    # the order behind a class is known by its hash when calls are brought to it
+    assert "xxhash64(1, behind" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nested_intervals(spark):
     rng = random.Random(5)
     parent = {i: (rng.randrange(max(1, i // 4)) if i % 13 else None) for i in range(1, 90)} | {0: None} | {100 + i: 0 for i in range(60)}
